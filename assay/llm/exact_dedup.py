@@ -34,7 +34,8 @@ def _settle(rows: DataFrame, first_digit: int, growth: int) -> DataFrame:
             .agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head"), F.min("rid").alias("next"))
             .filter("n > 1")
         )
-        split = keyed.join(groups, ["gid", "ended", "digit"], "left")
+        tails = keyed.withColumn("rest", F.expr(f"substring(rest, {width + 1})"))  # the digit itself travels as a key
+        split = tails.join(groups, ["gid", "ended", "digit"], "left")
         is_open = F.col("n").isNotNull() & ~F.col("ended")
         step = materialize(
             split.select(
@@ -45,7 +46,7 @@ def _settle(rows: DataFrame, first_digit: int, growth: int) -> DataFrame:
                 F.when(F.col("n").isNull(), F.col("rid")).otherwise(F.col("head.rid")).alias("keep_rid"),
                 F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
                 F.when(is_open, F.col("next")).alias("gid"),
-                F.when(is_open, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
+                F.when(is_open, F.col("rest")).alias("rest"),
             )
         )
         settled.append(step.filter("gid is null").drop("gid", "rest"))
