@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, langid, mixing, packing, quality, simhash, toxicity
+from . import exact_dedup, fingerprint, langid, license_scan, mixing, packing, quality, simhash, toxicity
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
@@ -62,4 +67,5 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op6_license_scan": license_scan.oracle(),
 }
