@@ -26,7 +26,7 @@ def _percent(t: Column) -> Column:
 
 def _channel(t: Column) -> Column:
     x = T.strict_float(T.strip(t))
-    return F.when(t.endswith("%"), _percent(t)).otherwise(_number(t, 0.0, 255.0) & F.coalesce(x == F.floor(x).cast("double"), F.lit(False)))
+    return F.when(t.endswith("%"), _percent(t)).otherwise(_number(t, 0.0, 255.0) & F.coalesce(x == F.rint(x), F.lit(False)))
 
 
 def _alpha(t: Column) -> Column:

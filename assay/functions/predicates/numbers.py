@@ -19,7 +19,8 @@ def _big(x: int) -> Column:
 def _within(v: Value, low: int | None, high: int | None) -> Column:
     """An exact whole number within the bounds; texts in plain digits are compared exactly, other floats by their double."""
     fits_exact = lambda x: x.isNotNull() if low is None else x.between(_big(low), _big(high))
-    fits_double = lambda x: (x == F.floor(x).cast("double")) & (F.abs(x) < 1e300) & (F.lit(True) if low is None else (x >= float(low)) & (x <= float(high))) | (F.lit(low is None) & (F.abs(x) >= 2.0**53) & (F.abs(x) < float("inf")))
+    bounded = lambda x: F.lit(True) if low is None else (x >= float(low)) & (x <= float(high))
+    fits_double = lambda x: (x == F.rint(x)) & (F.abs(x) < float("inf")) & bounded(x)
     out = false()
     if v.str is not None:
         t = T.strip(v.str)

@@ -120,7 +120,7 @@ class Compiler:
 
     def _integer(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         v = self._changed(node, v)
-        return self._scalar(node, v, path, false() if v.num is None else F.coalesce(v.num == F.floor(v.num).cast("double"), F.abs(v.num) >= 2.0**53, false()) & v.is_num)
+        return self._scalar(node, v, path, false() if v.num is None else F.coalesce((v.num == F.rint(v.num)) & (F.abs(v.num) < float("inf")), false()))
 
     def _exact(self, node: dict, v: Value, path: Path, low: int, high: int) -> Out:
         v = self._changed(node, v)
