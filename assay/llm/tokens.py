@@ -11,57 +11,60 @@ import regex
 CACHED = 500_000
 #: A chunk that the tokenizer certainly cuts into one run of letters and one of signs: no digits, apostrophes or blanks.
 _PLAIN = regex.compile(r"(\p{L}*)([^\s\p{L}\p{N}'<]*)")
-_JOINED = 512
 
 
-class WordTokens:
-    """Ids of a tokenizer that drops blanks and never merges across them, as little-endian 32-bit bytes."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+class WordTokens(dict):
+    """From a chunk without ASCII blanks to its ids (little-endian 32-bit bytes), for a lower-casing word BPE that drops blanks and never
+    merges across them. A run of letters or signs goes straight to the vocabulary's merges; any other chunk takes the whole way."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[bytes, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
         self.runs: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
-        if len(self.runs) > CACHED:
-            self.runs.clear()
-        plain, other, new = [], [], {}
-        for chunk in chunks:
-            word = chunk.decode("utf-8", "replace")
-            found = _PLAIN.fullmatch(word) if unicodedata.is_normalized("NFC", word) else None
-            if found is None:
-                other.append((chunk, word))
-                continue
-            parts = [x for x in (found[1].lower(), found[2]) if x]
-            plain.append((chunk, parts))
-            new.update((x, None) for x in parts if x not in self.runs)
-        runs = list(new)
-        for k in range(0, len(runs), _JOINED):
-            some = runs[k : k + _JOINED]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            words = np.array(got.word_ids, np.int64)
-            if len(words) and words[-1] == len(some) - 1:
-                cuts, raw = np.searchsorted(words, np.arange(len(some) + 1)) * 4, np.array(got.ids, "<u4").tobytes()
-                self.runs.update(zip(some, (raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))))
-            else:  # some run was cut in two after all
-                self.runs.update((x, np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()) for x in some)
-        self.chunks.update((chunk, b"".join([self.runs[x] for x in parts])) for chunk, parts in plain)
-        got = self.tokenizer.encode_batch([x for _, x in other], add_special_tokens=False)
-        self.chunks.update((chunk, np.array(e.ids, "<u4").tobytes()) for (chunk, _), e in zip(other, got))
+    def _run(self, run: str) -> bytes:
+        got = self.runs.get(run)
+        if got is None:
+            if len(self.runs) > CACHED:
+                self.runs.clear()
+            letters = run if run.isascii() and run.isprintable() else run.encode("utf-8").decode("latin-1").translate(_LETTERS)
+            got = self.runs[run] = np.array([t.id for t in self.merges(letters)], "<u4").tobytes()
+        return got
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = chunk.decode("utf-8", "replace")
+        low = word.lower()
+        if not (low.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word))):
+            got = self._whole(word)
+        elif low.isalpha():
+            got = self._run(low)
+        elif found := _PLAIN.fullmatch(low):
+            got = b"".join([self._run(x) for x in found.groups() if x])
+        else:
+            got = self._whole(word)
+        self[chunk] = got
+        return got
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        parts = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join([self.chunks[x] for x in parts])
-        except KeyError:
-            self._learn([x for x in set(parts) if x not in self.chunks])
-        if any(x not in self.chunks for x in parts):  # the cache started afresh
-            self._learn(list(set(parts)))
-        return b"".join([self.chunks[x] for x in parts])
+        if len(self) > CACHED:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 _OPEN: dict[str, WordTokens] = {}
