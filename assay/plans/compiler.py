@@ -94,10 +94,21 @@ class Compiler:
     def node(self, node: dict, v: Value, path: Path, refs: tuple = ()) -> Out:
         return getattr(self, f"_{node['type']}")(node, v, path, refs)
 
+    @staticmethod
+    def _sure(node: dict, v: Value) -> bool:
+        """The column's own type already says that every value is null or fits."""
+        held = [s for s in ("str", "num", "bool") if getattr(v, s) is not None]
+        if v.variant or v.type is None or len(held) != 1:
+            return False
+        wanted = {"string": "str", "date": "str", "boolean": "bool", "number": "num", "money": "num", "currency": "num", "decimal": "num", "percentage": "num"}
+        if node["type"] in wanted:
+            return held[0] == wanted[node["type"]]
+        whole = {"integer": T.IntegralType, "int64": T.IntegralType, "int32": (T.ByteType, T.ShortType, T.IntegerType)}
+        return not v.changed and node["type"] in whole and isinstance(v.type, whole[node["type"]])
+
     # ---- scalars
     def _scalar(self, node: dict, v: Value, path: Path, fits: Column, more: Any = None) -> Out:
-        bad = F.when(v.present & ~v.null & ~fits, issue("TYPE_ERROR", f"expected {node['type']}", path))
-        singles = [bad]
+        singles = [] if self._sure(node, v) else [F.when(v.present & ~v.null & ~fits, issue("TYPE_ERROR", f"expected {node['type']}", path))]
         if more is not None:
             singles += more(v)
         singles += self._constraints(node.get("constraints"), v, path, fits)

@@ -18,7 +18,8 @@ def validate_stream(stream: DataFrame, schema: Any, **options: Any) -> DataFrame
 
 def issue_counts(validated: DataFrame, time_col: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Issues by time window, path and code; windows close when the watermark passes them."""
-    issues = validated.withWatermark(time_col, late).select(time_col, F.explode(F.concat("errors", "warnings")).alias("i"))
+    timed = validated.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    issues = timed.withWatermark(time_col, late).select(time_col, F.explode(F.concat("errors", "warnings")).alias("i"))
     return issues.groupBy(F.window(time_col, window), F.col("i.path").alias("path"), F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
 
 
