@@ -23,9 +23,35 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/assay/{uuid.uuid4().hex}"
 
 
+class Scope:
+    """Collects the scratch tables that are written while it is open, so that they can be deleted once a later table replaces them."""
+
+    open_: "Scope | None" = None
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> "Scope":
+        self.outer, Scope.open_ = Scope.open_, self
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scope.open_ = self.outer
+
+    def delete(self, spark: SparkSession) -> None:
+        """Delete the tables; only when nothing unwritten reads them any more."""
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+        self.paths = []
+
+
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back; a lost executor then costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
+    if Scope.open_ is not None:
+        Scope.open_.paths.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,8 +3,8 @@
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and share all words; a target stops at 3
 times its source's words and the excess is shared again by weight until none is above. A source's rows fall into blocks by
 a hash of the row, at most ``MAX_BLOCKS`` a source. A target is met by whole epochs, each a permutation of all blocks, and then by
-permuted blocks without repetition up to the exact number of words; the last block is taken in hash order and its last
-document in part (its first words).
+permuted blocks without repetition up to the number of words; the last block is taken in hash order and its last document in part
+(its first words; equal rows share evenly, rounded up).
 
 Which output shard gets which draws is decided top down: a node of the tree divides its draws' counts by source among its two halves
 by one multivariate-hypergeometric draw, seeded by the node, so that every shard gets its exact number of blocks, as if all
@@ -113,57 +113,57 @@ def _key(id_: Column, text: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), id_, text)
 
 
-def _draws(rows: DataFrame, weights: tuple, shards: int, seed: int) -> tuple[DataFrame, DataFrame] | None:
-    """rows: rid, source, size, key, written. Gives rows with their source's figures, and (rid, epoch, shard, words)."""
-    plan = _plan(rows, weights, shards, seed)
-    if plan is None:
-        return None
+def _pieces(narrow: DataFrame, sources: DataFrame, draws: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of written narrow rows (source, size, key): the draws that take a whole block, and by key the words taken of each row of
+    the blocks that are taken in part (at most one a source). Rows of one key share what is left for it evenly."""
+    part = _with_block(narrow, sources).join(sized(draws.filter("words < block_words")), ["sid", "block"])
+    part = part.groupBy("sid", "block", "epoch", "shard", "words", "key").agg(F.sum("size").alias("all"), F.count("*").alias("copies"))
+    order = Window.partitionBy("sid", "block", "epoch").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("words") - F.coalesce(F.sum("all").over(order), F.lit(0))
+    part = part.withColumn("taken", F.ceil(F.greatest(F.lit(0), F.least("all", left)) / F.col("copies")).cast("long")).filter("taken > 0")
+    return draws.filter("words = block_words").select("sid", "block", "epoch", "shard"), materialize(part.select("sid", "key", "epoch", "shard", "taken"))
+
+
+def _drawn(rows: DataFrame, plan: tuple[DataFrame, DataFrame], narrow: DataFrame) -> DataFrame:
+    """rows (with source, size, key) once for each time they are drawn: epoch, shard and the words taken."""
     sources, draws = plan
-    placed = _with_block(rows.select("rid", "source", "size", "key"), sources)
-    met = placed.select("rid", "sid", "block", "size", "key").join(sized(draws), ["sid", "block"])
-    whole = met.filter("words = block_words").select("rid", "epoch", "shard", F.col("size").alias("words"))
-    order = Window.partitionBy("sid", "block", "epoch").orderBy("key", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    part = met.filter("words < block_words").withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    part = part.select("rid", "epoch", "shard", F.greatest(F.lit(0), F.least("size", F.col("words") - F.col("before"))).alias("words"))
-    return placed, whole.unionByName(part).filter("words > 0")
+    whole, part = _pieces(narrow, sources, draws)
+    placed = _with_block(rows, sources)
+    columns = [*rows.columns, "epoch", "shard"]
+    full = placed.join(sized(whole), ["sid", "block"]).filter("size > 0").select(*columns, F.col("size").alias("taken"))
+    return full.unionByName(placed.join(sized(part), ["sid", "key"]).select(*columns, "taken"))
 
 
-def _sized_rows(docs: DataFrame, columns: list[str], id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _facts(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
     text = F.col(f"`{text_col}`")
-    return materialize(
-        with_row_id(
-            docs.select(
-                F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-                F.col(f"`{source_col}`").cast("string").alias("source"),
-                F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),
-                _key(F.col(f"`{id_col}`"), text, seed).alias("key"),
-            ),
-            "rid",
-        )
-    )
+    size = F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
+    return [F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), _key(F.col(f"`{id_col}`"), text, seed).alias("key")]
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target (its source's), taken (words that the mix takes)."""
-    rows = _sized_rows(docs, [id_col], id_col, text_col, source_col, seed)
-    out = _draws(rows, weights, shards, seed)
-    names = ["doc_id", "size", "source_size", "target", "taken"]
-    if out is None:
-        return rows.select(F.col("row")[id_col].alias("doc_id"), "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
-    placed, occurrences = out
-    taken = occurrences.groupBy("rid").agg(F.sum("words").alias("taken"))
-    return rows.select("rid", F.col("row")[id_col].alias("doc_id")).join(placed, "rid").join(taken, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).select(names)
+    rows = materialize(with_row_id(docs.select(F.col(f"`{id_col}`").alias("doc_id"), *_facts(docs, id_col, text_col, source_col, seed)), "rid"))
+    plan = _plan(rows, weights, shards, seed)
+    if plan is None:
+        return rows.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
+    taken = _drawn(rows.select("rid", "source", "size", "key"), plan, rows.select("source", "size", "key")).groupBy("rid").agg(F.sum("taken").alias("taken"))
+    placed = _with_block(rows, plan[0]).select("rid", "doc_id", "size", "source_size", "target")
+    return placed.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mixed rows, all columns of ``docs``: one row for each time a row is drawn, each shard together and shuffled."""
-    rows = _sized_rows(docs, docs.columns, id_col, text_col, source_col, seed)
-    out = _draws(rows, weights, shards, seed)
-    if out is None:
-        return rows.select("row.*")
-    drawn = rows.select("rid", "row", "size", "key").join(sized(out[1]), "rid")
-    first_words = F.array_join(F.slice(F.filter(F.split(text_of(F.col("row")[text_col]), r"[\x20\x09-\x0D]+"), lambda x: x != ""), F.lit(1), F.greatest(F.lit(1), F.col("words").cast("int"))), " ")
-    text = F.when(F.col("words") < F.col("size"), first_words).otherwise(F.col("row")[text_col])
-    drawn = drawn.withColumn("order", F.xxhash64(F.lit(seed), "key", "epoch", "rid"))
-    drawn = drawn.select("shard", "order", "row", text.alias("text")).repartition(shards, "shard").sortWithinPartitions("shard", "order")
+    """The mixed rows, all columns of ``docs``: one row for each time a row is drawn, each shard together and shuffled.
+
+    ``docs`` is read twice, first for sizes and hashes alone; texts move once, to their shard."""
+    facts = _facts(docs, id_col, text_col, source_col, seed)
+    narrow = materialize(docs.select(*facts))
+    plan = _plan(narrow, weights, shards, seed)
+    if plan is None:
+        return docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *facts)
+    drawn = _drawn(rows, plan, narrow)
+    some = F.slice(F.filter(F.split(text_of(F.col("row")[text_col]), r"[\x20\x09-\x0D]+"), lambda x: x != ""), F.lit(1), F.greatest(F.lit(1), F.col("taken").cast("int")))
+    text = F.when(F.col("taken") < F.col("size"), F.array_join(some, " ")).otherwise(F.col("row")[text_col])
+    drawn = drawn.select("shard", F.xxhash64(F.lit(seed), "key", "epoch").alias("order"), "row", text.alias("text"))
+    drawn = drawn.repartition(shards, "shard").sortWithinPartitions("shard", "order")
     return drawn.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
