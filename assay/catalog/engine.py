@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType, StringType
+
 from assay.builder import lit, seg, w
+from assay.functions.predicates import reference
+from assay.functions.predicates.lite import lite
 from assay.operators import batch, report
 from assay.operators import validation as V
 from assay.plans import generate
 from assay.plans.registry import Registry
+from assay.plans.values import from_typed
 from assay.sources import readers
 from assay.streaming import streams
 
-from .base import KEYS, ORACLES, QUERIES, checked, column_query, either, full, nines, quoted, samples, shifted, table
+from .base import KEYS, ORACLES, QUERIES, checked, column_query, either, full, luhn, nines, quoted, samples, shifted, table
 from .predicates import EIN, ITIN, SSN, STRICT
 from .predicates import ATIN as ATIN_SQL
 
@@ -191,6 +196,27 @@ register("batch_forms", lambda s, d: _forms(s, d).select("c_custkey", "valid"),
 register("batch_forms_tins_only", lambda s, d: batch.validate_forms(_forms(s, d).drop("valid"), batch.FormRules(amounts=False, years=False)).select("c_custkey", "valid"), f"SELECT c_custkey, ({_tin_sql('payer_tin')}) AND ({_tin_sql('recipient_tin')}) AS valid FROM ({FORMS})")
 register("batch_summary", lambda s, d: _forms(s, d).agg(F.count_if("valid").alias("valid_count"), F.count_if(~F.col("valid")).alias("invalid_count"), F.bool_and("valid").alias("all_valid")), f"SELECT count(*) FILTER (valid) AS valid_count, count(*) FILTER (NOT valid) AS invalid_count, bool_and(valid) AS all_valid FROM ({FORMS_SQL})")
 
+register("batch_valid_indices", lambda s, d: report.valid_indices(_forms(s, d), "c_custkey"), f"SELECT c_custkey FROM ({FORMS_SQL}) WHERE valid")
+register("batch_invalid_indices", lambda s, d: report.invalid_indices(_forms(s, d), "c_custkey"), f"SELECT c_custkey FROM ({FORMS_SQL}) WHERE NOT valid")
+_LITE = lite()
+
+
+def _lite(name: str, value: str, result: str) -> None:
+    column_query(f"lite_{name}", "customer", value, lambda c: _LITE.evaluate(name, from_typed(c, StringType()), {}), result)
+
+
+for _n, _rule in (("is_ssn", SSN), ("is_ein", EIN), ("is_itin", ITIN), ("is_atin", ATIN_SQL), ("is_tin", f"d <> '000000000' AND ({SSN} OR {EIN} OR {ITIN} OR {ATIN_SQL})")):
+    _lite(_n, IDS, checked(STRICT, _rule))
+_lite("is_us_state", samples("CA", "ny", " DC ", "UM", "AE", "", None), "coalesce(u = upper(x) AND u IN (" + ", ".join(quoted(c) for c in [*reference.STATES, "AS", "GU", "MP", "PR", "VI"]) + "), false)")
+_lite("is_us_zip", samples("12345", "12345-6789", "1234", " 12345", "", None), f"coalesce({full('x', '[0-9]{5}(-[0-9]{4})?')}, false)")
+_lite("is_email", samples("a@b.c", "@b.c", "a@", "a@b", "a@.b", "a@@b.c", None), "coalesce(strpos(x, '@') > 1 AND contains(substr(x, strpos(x, '@') + 1), '.') AND NOT starts_with(substr(x, strpos(x, '@') + 1), '.') AND NOT ends_with(x, '.'), false)")
+_lite("is_phone", either(shifted(samples("555-1234", "12345", "+44 20 7946 0958", "", None)), NINE), "coalesce(length(d) BETWEEN 7 AND 15, false)")
+_lite("luhn", either(shifted(samples("4111 1111 1111 1111", "79927398713", "0", "", "abc", None)), nines(10)), checked("length(d) > 0", luhn("d")))
+_lite("is_tax_year", either(shifted(samples("2020", " 2024 ", "x", "", None)), "cast(1990 + c_custkey % 130 as string)"), checked(full("x", "[0-9]{1,9}"), "cast(x AS BIGINT) BETWEEN 2020 AND 2100"))
+for _n, _op in (("is_non_negative", ">="), ("is_positive", ">")):
+    column_query(f"lite_{_n}", "customer", "c_acctbal", lambda c, n=_n: _LITE.evaluate(n, from_typed(c, DoubleType()), {}), f"x {_op} 0")
+    ORACLES[f"lite_{_n}"] = f"SELECT c_custkey, c_acctbal AS input, c_acctbal {_op} 0 AS ok FROM customer"
+
 # ---------------------------------------------------------------- sources, sinks and streams
 
 

@@ -28,3 +28,13 @@ def rolled_up(validated: DataFrame) -> DataFrame:
 def worst(validated: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The keys with the most errors; ties by key."""
     return validated.select(key, F.size("errors").alias("n_errors")).orderBy(F.desc("n_errors"), key).limit(n)
+
+
+def valid_indices(validated: DataFrame, key: str) -> DataFrame:
+    """The keys of the valid rows."""
+    return validated.filter("valid").select(key)
+
+
+def invalid_indices(validated: DataFrame, key: str) -> DataFrame:
+    """The keys of the invalid rows."""
+    return validated.filter("not valid").select(key)
