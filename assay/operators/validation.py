@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from assay.functions import transforms
 from assay.plans import ir
-from assay.plans.compiler import Compiler, Out, issue
+from assay.plans.compiler import Compiler, Out, Single, issue, no_issues
 from assay.plans.registry import Registry
 from assay.plans.values import Value, from_typed, from_variant
 
@@ -76,13 +76,14 @@ def validate(df: DataFrame, schema: Any, registry: Registry | None = None, apply
     keep = [c for c in df.columns if c in root or not strip]
     normal = [out.value.members[c].as_typed(root[c]["type"]).alias(c) if c in root and c in out.value.members else F.col(f"`{c}`") for c in keep]
     filled = [out.value.members[c].as_typed(root[c]["type"]).alias(c) for c in root if c not in df.columns and ir.fills_missing(schema, root[c])]
-    return _split(staged.select(*normal, *filled, out.issues().alias("__issues")))
+    flagged = staged.withColumns({"__failed": out.failed(), "__warned": out.some("warning")})
+    return flagged.select(*normal, *filled, *_columns(out))
 
 
-def _split(df: DataFrame) -> DataFrame:
-    errors = F.filter("__issues", lambda i: i["severity"] == "error")
-    warnings = F.filter("__issues", lambda i: i["severity"] != "error")
-    return df.withColumns({"errors": errors, "warnings": warnings}).withColumn("valid", F.size("errors") == 0).drop("__issues")
+def _columns(out: Out) -> list[Column]:
+    """Issues are put together for the rows alone that the flags single out."""
+    listed = lambda flag, severity: F.when(F.col(flag), out.listed(severity)).otherwise(no_issues()).alias(f"{severity}s")
+    return [listed("__failed", "error"), listed("__warned", "warning"), (~F.col("__failed")).alias("valid")]
 
 
 def is_valid(df: DataFrame, schema: Any, registry: Registry | None = None) -> Column:
@@ -101,8 +102,11 @@ def validate_documents(df: DataFrame, schema: Any, column: str = "value", regist
     df = df.withColumn("__document", raw)
     v = from_variant(F.col("__document"))
     out = Compiler(schema, registry, apply_transforms, unroll).node(schema.root, v, "")
-    broken = F.when(F.col("__document").isNull(), F.array(issue("INVALID_JSON", "not a JSON document", "")))
-    return _split(df.withColumns({"normalized": out.value.as_variant(), "__issues": F.coalesce(broken, out.issues())}).drop("__document"))
+    broken = F.col("__document").isNull()
+    out.singles.append(Single(broken, issue("INVALID_JSON", "not a JSON document", "")))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "__document"]
+    flagged = df.withColumns({"__failed": out.failed(), "__warned": out.some("warning")})
+    return flagged.select(*kept, out.value.as_variant().alias("normalized"), *_columns(out))
 
 
 def validate_or_raise(df: DataFrame, schema: Any, **options: Any) -> DataFrame:

@@ -31,27 +31,56 @@ def no_issues() -> Column:
     return F.array().cast(NO_ISSUES)
 
 
+@dataclass(frozen=True)
+class Single:
+    """An issue that a row has where a condition holds."""
+
+    holds: Column
+    issue: Column
+    severity: str = "error"
+
+
+def when(holds: Column, issue_: Column, severity: str = "error") -> Single:
+    return Single(holds, issue_, severity)
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Whether some condition holds, as a balanced tree."""
+    if not conditions:
+        return false()
+    while len(conditions) > 1:
+        conditions = [a | b for a, b in zip(conditions[::2], conditions[1::2])] + ([conditions[-1]] if len(conditions) % 2 else [])
+    return F.coalesce(conditions[0], false())
+
+
 @dataclass
 class Out:
-    """A node's normalized value and its issues: single ones (null where they don't apply) and arrays of them."""
+    """A node's normalized value and its issues: single ones, and arrays of those of its parts."""
 
     value: Value
-    singles: list[Column] = field(default_factory=list)
+    singles: list[Single] = field(default_factory=list)
     arrays: list[Column] = field(default_factory=list)
 
+    def listed(self, severity: str | None) -> Column:
+        wanted = [s for s in self.singles if severity in (None, s.severity)]
+        keep = lambda x: x if severity is None else F.filter(x, lambda i: i["severity"] == severity)
+        parts = [F.array_compact(F.array(*[F.when(s.holds, s.issue) for s in wanted]))] if wanted else []
+        parts += [keep(x) for x in self.arrays]
+        return no_issues() if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
+
     def issues(self) -> Column:
-        parts = [F.array_compact(F.array(*self.singles))] if self.singles else []
-        parts += self.arrays
-        if not parts:
-            return no_issues()
-        return parts[0] if len(parts) == 1 else F.concat(*parts)
+        return self.listed(None)
+
+    def some(self, severity: str) -> Column:
+        """Whether an issue of the severity is among them; builds no issue of its own."""
+        found = [s.holds for s in self.singles if s.severity == severity]
+        return _any(found + [F.exists(x, lambda i: i["severity"] == severity) for x in self.arrays])
 
     def failed(self) -> Column:
-        """Whether an error, not only warnings, is among the issues."""
-        return F.exists(self.issues(), lambda i: i["severity"] == "error") if self.singles or self.arrays else false()
+        return self.some("error")
 
     def when(self, condition: Column) -> "Out":
-        return Out(self.value, [F.when(condition, s) for s in self.singles], [F.when(condition, a).otherwise(no_issues()) for a in self.arrays])
+        return Out(self.value, [replace(s, holds=condition & s.holds) for s in self.singles], [F.when(condition, a).otherwise(no_issues()) for a in self.arrays])
 
 
 Path = str | Column
@@ -82,13 +111,14 @@ class Compiler:
     def _changed(self, node: dict, v: Value) -> Value:
         return transforms.apply(v, node.get("transforms")) if self.apply_transforms else v
 
-    def _constraints(self, listed: list[dict] | None, v: Value, path: Path, applies: Column) -> list[Column]:
+    def _constraints(self, listed: list[dict] | None, v: Value, path: Path, applies: Column) -> list[Single]:
         out = []
         for c in listed or []:
             error = c["error"]
             holds = compile_predicate(c["pred"], v, self.registry)
             at = error["path"] if error.get("path") is not None else path
-            out.append(F.when(applies & ~holds, issue(error["code"], error.get("message", ""), at, error.get("severity", "error"), error.get("help"), error.get("source"))))
+            severity = error.get("severity", "error")
+            out.append(when(applies & ~holds, issue(error["code"], error.get("message", ""), at, severity, error.get("help"), error.get("source")), severity))
         return out
 
     def node(self, node: dict, v: Value, path: Path, refs: tuple = ()) -> Out:
@@ -108,7 +138,7 @@ class Compiler:
 
     # ---- scalars
     def _scalar(self, node: dict, v: Value, path: Path, fits: Column, more: Any = None) -> Out:
-        singles = [] if self._sure(node, v) else [F.when(v.present & ~v.null & ~fits, issue("TYPE_ERROR", f"expected {node['type']}", path))]
+        singles = [] if self._sure(node, v) else [when(v.present & ~v.null & ~fits, issue("TYPE_ERROR", f"expected {node['type']}", path))]
         if more is not None:
             singles += more(v)
         singles += self._constraints(node.get("constraints"), v, path, fits)
@@ -157,21 +187,21 @@ class Compiler:
     def _currency(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         v = self._changed(node, v)
         scale = 2 if node.get("scale") is None else node["scale"]
-        more = lambda v: [] if v.num is None else [F.when(self._too_fine(v, scale), issue("CURRENCY_SCALE_EXCEEDED", f"more than {scale} decimal places", path))]
+        more = lambda v: [] if v.num is None else [when(self._too_fine(v, scale), issue("CURRENCY_SCALE_EXCEEDED", f"more than {scale} decimal places", path))]
         return self._scalar(node, v, path, v.is_num, more)
 
     def _decimal(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         v = self._changed(node, v)
         scale, precision = node.get("scale"), node.get("precision")
 
-        def more(v: Value) -> list[Column]:
+        def more(v: Value) -> list[Single]:
             out = []
             if v.num is not None and scale is not None:
-                out.append(F.when(self._too_fine(v, scale), issue("DECIMAL_SCALE_EXCEEDED", f"more than {scale} decimal places", path)))
+                out.append(when(self._too_fine(v, scale), issue("DECIMAL_SCALE_EXCEEDED", f"more than {scale} decimal places", path)))
             if v.num is not None and precision is not None:
                 shown = F.regexp_replace(F.format_string("%.10f", F.abs(v.num)), r"\.?0+$", "")
                 count = F.when(v.num == 0, 1).otherwise(F.length(X.digits(shown)))
-                out.append(F.when(count > precision, issue("DECIMAL_PRECISION_EXCEEDED", f"more than {precision} digits", path)))
+                out.append(when(count > precision, issue("DECIMAL_PRECISION_EXCEEDED", f"more than {precision} digits", path)))
             return out
 
         return self._scalar(node, v, path, v.is_num, more)
@@ -180,14 +210,14 @@ class Compiler:
         v = self._changed(node, v)
         high, free, scale = 1.0 if node.get("format", "whole") == "decimal" else 100.0, bool(node.get("allow_over_100")), node.get("scale")
 
-        def more(v: Value) -> list[Column]:
+        def more(v: Value) -> list[Single]:
             if v.num is None:
                 return []
-            out = [F.when(v.num < 0, issue("PERCENTAGE_NEGATIVE", "percentage cannot be negative", path))]
+            out = [when(v.num < 0, issue("PERCENTAGE_NEGATIVE", "percentage cannot be negative", path))]
             if not free:
-                out.append(F.when(v.num > high, issue("PERCENTAGE_TOO_HIGH", f"percentage cannot exceed {high:g}", path)))
+                out.append(when(v.num > high, issue("PERCENTAGE_TOO_HIGH", f"percentage cannot exceed {high:g}", path)))
             if scale is not None:
-                out.append(F.when(self._too_fine(v, scale), issue("PERCENTAGE_SCALE_EXCEEDED", f"more than {scale} decimal places", path)))
+                out.append(when(self._too_fine(v, scale), issue("PERCENTAGE_SCALE_EXCEEDED", f"more than {scale} decimal places", path)))
             return out
 
         return self._scalar(node, v, path, v.is_num, more)
@@ -196,15 +226,15 @@ class Compiler:
         return Out(v)
 
     def _never(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
-        return Out(v, [F.when(v.present, issue("TYPE_ERROR", "no value is allowed", path))])
+        return Out(v, [when(v.present, issue("TYPE_ERROR", "no value is allowed", path))])
 
     def _enum(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         empty = false() if v.str is None else F.coalesce(v.str == "", false())
         fits = reduce(lambda a, b: a | b, (equals(v, x) for x in node["values"]), v.null | empty)
-        return Out(v, [F.when(v.present & ~fits, issue("INVALID_ENUM", "not one of the values", path))])
+        return Out(v, [when(v.present & ~fits, issue("INVALID_ENUM", "not one of the values", path))])
 
     def _literal(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
-        return Out(v, [F.when(v.present & ~equals(v, node["value"]), issue("INVALID_LITERAL", "not the value", path))])
+        return Out(v, [when(v.present & ~equals(v, node["value"]), issue("INVALID_LITERAL", "not the value", path))])
 
     # ---- wrappers
     def _preprocess(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
@@ -220,21 +250,20 @@ class Compiler:
             str=pick(a.str, b.str), num=pick(a.num, b.num), int=pick(a.int, b.int), bool=pick(a.bool, b.bool), null_=F.when(bad, b.null).otherwise(a.null), present_=bad | a.present,
             raw=a.raw, type=a.type, changed=True, out=F.when(bad, b.as_variant()).otherwise(a.as_variant()) if deep and (a.variant or a.type is None) else None,
         )
-        keep = lambda s: F.when(~bad, s)
-        return Out(value, [keep(s) for s in inner.singles], [F.when(~bad, x).otherwise(no_issues()) for x in inner.arrays])
+        return Out(value, [replace(s, holds=~bad & s.holds) for s in inner.singles], [F.when(~bad, x).otherwise(no_issues()) for x in inner.arrays])
 
     def _ref(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         name, chain = node["$ref"], {node["$ref"]}
         target = self.schema.resolve(name)
         while target is not None and target["type"] == "ref":  # a chain of references that comes back to itself
             if target["$ref"] in chain:
-                return Out(v, [F.when(v.present, issue("REF_CYCLE", f"reference cycle at {name}", path))])
+                return Out(v, [when(v.present, issue("REF_CYCLE", f"reference cycle at {name}", path))])
             chain.add(target["$ref"])
             target = self.schema.resolve(target["$ref"])
         if target is None:
-            return Out(v, [F.when(v.present, issue("REF_NOT_FOUND", f"no definition {name}", path))])
+            return Out(v, [when(v.present, issue("REF_NOT_FOUND", f"no definition {name}", path))])
         if refs.count(name) >= self.unroll:
-            return Out(v, [F.when(v.present & ~v.null, issue("MAX_DEPTH_EXCEEDED", "maximum validation depth exceeded", path))])
+            return Out(v, [when(v.present & ~v.null, issue("MAX_DEPTH_EXCEEDED", "maximum validation depth exceeded", path))])
         return self.node(target, v, path, (*refs, name))
 
     # ---- choices
@@ -268,7 +297,7 @@ class Compiler:
             wins.append((live & ~taken & ~out.failed(), out.value))
             arrays.append(F.when(live & ~taken & ~out.failed(), out.issues()).otherwise(no_issues()))
             taken = taken | ~out.failed()
-        return Out(self._merge(v, wins), [F.when(live & ~taken, issue("INVALID_UNION", "no variant fits", path))], arrays)
+        return Out(self._merge(v, wins), [when(live & ~taken, issue("INVALID_UNION", "no variant fits", path))], arrays)
 
     def _intersection(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         now, going, arrays = v, true(), []
@@ -291,12 +320,12 @@ class Compiler:
             return out.when(gate)
         absent = ~v.present if ir.allows_null(self.schema, child) else ~v.present | v.null
         gated = out.when(inside & ~absent)
-        gated.singles.append(F.when(inside & absent, issue("REQUIRED", "required", at)))
+        gated.singles.append(when(inside & absent, issue("REQUIRED", "required", at)))
         return gated
 
     def _object(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         inside = v.is_obj if v.members is None else true()
-        wrong = F.when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected object", path))
+        wrong = when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected object", path))
         singles, arrays, members = [wrong], [], {}
         for key, child in node["properties"].items():
             got = v.member(key)
@@ -333,7 +362,7 @@ class Compiler:
                     singles, arrays = singles + out.singles, arrays + out.arrays
                     members[key] = out.value
                 elif mode == "strict":
-                    singles.append(F.when(inside & got.present, issue("ADDITIONAL_PROPERTY_NOT_ALLOWED", f"unexpected property {key}", _join(path, key))))
+                    singles.append(when(inside & got.present, issue("ADDITIONAL_PROPERTY_NOT_ALLOWED", f"unexpected property {key}", _join(path, key))))
                     members[key] = got
                 elif mode == "passthrough":
                     members[key] = got
@@ -352,7 +381,7 @@ class Compiler:
 
     def _array(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         inside = v.is_arr
-        singles = [F.when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected array", path))]
+        singles = [when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected array", path))]
         found = v.elements()
         if found is None:
             return Out(v, singles)
@@ -360,9 +389,9 @@ class Compiler:
         stated = {(c["pred"]["type"], c["pred"].get("len")) for c in node.get("constraints") or []}
         low, high = node.get("min_items"), node.get("max_items")
         if low is not None and ("min_len", low) not in stated:
-            singles.append(F.when(inside & (F.size(arr) < low), issue("ARRAY_TOO_SHORT", f"at least {low} items", path)))
+            singles.append(when(inside & (F.size(arr) < low), issue("ARRAY_TOO_SHORT", f"at least {low} items", path)))
         if high is not None and ("max_len", high) not in stated:
-            singles.append(F.when(inside & (F.size(arr) > high), issue("ARRAY_TOO_LONG", f"at most {high} items", path)))
+            singles.append(when(inside & (F.size(arr) > high), issue("ARRAY_TOO_LONG", f"at most {high} items", path)))
         each = lambda x, i: self.node(node["items"], from_typed(x, kind), _join(path, i.cast("string")), refs)
         arrays = [F.when(inside, F.flatten(F.transform(arr, lambda x, i: each(x, i).issues()))).otherwise(no_issues())]
         if v.variant:
@@ -375,12 +404,12 @@ class Compiler:
 
     def _tuple(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         inside, parts = v.is_arr, node["items"]
-        singles, arrays = [F.when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected tuple", path))], []
+        singles, arrays = [when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected tuple", path))], []
         found = v.elements()
         if found is None:
             return Out(v, singles)
         arr, kind = found
-        singles.append(F.when(inside & (F.size(arr) != len(parts)), issue("INVALID_TUPLE", f"expected {len(parts)} items", path)))
+        singles.append(when(inside & (F.size(arr) != len(parts)), issue("INVALID_TUPLE", f"expected {len(parts)} items", path)))
         outs = [self.node(part, from_typed(F.get(arr, k), kind), _join(path, str(k)), refs) for k, part in enumerate(parts)]
         for k, out in enumerate(outs):
             gated = out.when(inside & (F.size(arr) > k))
@@ -394,7 +423,7 @@ class Compiler:
 
     def _record(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         inside = v.is_obj
-        singles = [F.when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected record", path))]
+        singles = [when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected record", path))]
         found = v.entries()
         if found is None:
             return Out(v, singles)
@@ -417,4 +446,4 @@ class Compiler:
         return Out(replace(v, out=out, changed=True), singles, arrays)
 
 
-__all__ = ["Compiler", "ISSUE", "Out", "issue", "missing", "no_issues"]
+__all__ = ["Compiler", "ISSUE", "Out", "Single", "issue", "missing", "no_issues"]
