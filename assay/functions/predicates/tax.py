@@ -37,17 +37,40 @@ def atin_rules(d: Column) -> Column:
 
 RULES = {"SSN": ssn_rules, "EIN": ein_rules, "ITIN": itin_rules, "ATIN": atin_rules}
 
+# The same rules as one pattern each over the text itself, digits with any hyphens and spaces between them: one match a
+# value in place of a copy of its digits and a test for each rule.
+_GAP = "[ -]*"
+
+
+def _spread(*classes: str) -> str:
+    """Digits of the classes in turn, each with what may follow it."""
+    return "".join(c + _GAP for c in classes)
+
+
+_N = "[0-9]"
+_EIN_HEAD = "|".join(f"{first}{_GAP}[{''.join(p[1] for p in EIN_PREFIXES if p[0] == first)}]" for first in sorted({p[0] for p in EIN_PREFIXES}))
+STRICT = {
+    "SSN": rf"{_GAP}(?!9|{_spread(*'000')}|{_spread(*'666')}|([0-9])(?:{_GAP}\1){{8}}{_GAP}\z){_spread(*[_N] * 3)}(?!{_spread(*'00')}){_spread(*[_N] * 2)}(?!{_spread(*'0000')}\z){_spread(*[_N] * 4)}",
+    "EIN": rf"{_GAP}(?:{_EIN_HEAD}){_GAP}{_spread(*[_N] * 7)}",
+    "ITIN": rf"{_GAP}{_spread('9', _N, _N, '[78]', *[_N] * 5)}",
+    "ATIN": rf"{_GAP}{_spread('9', _N, _N, '9', '3', *[_N] * 4)}",
+}
+
+
+def strict(s: Column, kind: str) -> Column:
+    return s.rlike(rf"\A{STRICT[kind]}\z")
+
 
 @on_text("is_tin")
 def is_tin(s: Column, args: dict) -> Column:
-    d, kind = strict_nine(s), word(args, "kind", "ANY")
-    if kind in RULES:
-        return RULES[kind](d)
-    return (d != "000000000") & (ssn_rules(d) | ein_rules(d) | itin_rules(d) | atin_rules(d))
+    kind = word(args, "kind", "ANY")
+    if kind in STRICT:
+        return strict(s, kind)
+    return strict(s, "EIN") | strict(s, "SSN") | strict(s, "ITIN") | strict(s, "ATIN")  # nine zeros fit none of them
 
 
-on_text("is_ssn")(lambda s, a: ssn_rules(strict_nine(s)))
-on_text("is_ein")(lambda s, a: ein_rules(strict_nine(s)))
+on_text("is_ssn")(lambda s, a: strict(s, "SSN"))
+on_text("is_ein")(lambda s, a: strict(s, "EIN"))
 on_text("is_itin")(lambda s, a: itin_rules(T.digits(s)))
 on_text("is_atin")(lambda s, a: atin_rules(T.digits(s)))
 on_text("luhn")(lambda s, a: T.luhn(T.digits(s)))

@@ -51,8 +51,8 @@ class FormRules:
 
 
 def valid_tin(s: Column) -> Column:
-    d = tax.strict_nine(s)
-    return F.coalesce((d != "000000000") & (tax.ssn_rules(d) | tax.ein_rules(d) | tax.itin_rules(d) | tax.atin_rules(d)), F.lit(False))
+    """A text that is some taxpayer number."""
+    return F.coalesce(tax.is_tin(s, {}), F.lit(False))
 
 
 def validate_forms(df: DataFrame, rules: FormRules = FormRules(), payer: str = "payer_tin", recipient: str = "recipient_tin", amount: str = "interest_income", year: str = "tax_year") -> DataFrame:
