@@ -15,7 +15,7 @@ import numpy as np
 #: Zero bytes between texts; n-grams at a text's end run into them, never into the next text.
 _PAD = b"\0" * 8
 #: Longer texts are scored in parts of about this many bytes, cut at a blank; the parts' sums make the text's mean.
-PART = 1 << 20
+PART = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(1099511628211)
 _INVERSE = np.uint64(pow(1099511628211, -1, 1 << 64))
