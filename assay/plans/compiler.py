@@ -91,9 +91,11 @@ def _path(path: Path) -> Column:
 
 
 def _join(path: Path, part: Path) -> Path:
-    if isinstance(path, str) and isinstance(part, str):
-        return f"{path}/{part}"
-    return F.concat(_path(path), F.lit("/"), _path(part))
+    """The pointer of a part; ``~`` and ``/`` in its key are escaped."""
+    if isinstance(part, str):
+        part = part.replace("~", "~0").replace("/", "~1")
+        return f"{path}/{part}" if isinstance(path, str) else F.concat(path, F.lit(f"/{part}"))
+    return F.concat(_path(path), F.lit("/"), F.replace(F.replace(part, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
 
 
 def issue(code: str, message: str | Column, path: Path, severity: str = "error", help_: str | None = None, source: str | None = None) -> Column:
@@ -316,8 +318,9 @@ class Compiler:
         given = replace(v, present_=None, null_=v.null | ~v.present) if fills else v
         out = self.node(child, given, at, refs)
         if not needed or fills and ir.allows_null(self.schema, child):
-            gate = inside & (true() if fills else v.present & ~v.null if not needed and not ir.allows_null(self.schema, child) else v.present)
-            return out.when(gate)
+            # a typed column can't tell null from missing, so an optional one's null is taken for missing
+            there = v.present & ~v.null if not v.variant and not needed and not ir.allows_null(self.schema, child) else v.present
+            return out.when(inside & (true() if fills else there))
         absent = ~v.present if ir.allows_null(self.schema, child) else ~v.present | v.null
         gated = out.when(inside & ~absent)
         gated.singles.append(when(inside & absent, issue("REQUIRED", "required", at)))
@@ -375,7 +378,7 @@ class Compiler:
         elif isinstance(v.type, T.StructType):
             fields = [members[k].as_typed(node["properties"].get(k, {"type": "any"})["type"]).alias(k) for k in members if k in node["properties"] or k in v.type.names]
             out = F.when(inside, F.struct(*fields)) if fields else v.raw
-        value = replace(v, out=out, changed=True, members=dict(members))
+        value = replace(v, out=out, changed=True, members=dict(members), rest=None if rest is None else (rest, kind))
         singles += self._constraints(node.get("rules"), value, path, inside)
         return Out(value, singles, arrays)
 
@@ -434,7 +437,7 @@ class Compiler:
             own = self.node(node["value"], from_typed(e["value"], kind), _join(path, e["key"]), refs).issues()
             if keys is None:
                 return own
-            named = self.node(keys, from_typed(e["key"], T.StringType()), F.concat(_path(path), F.lit("/"), e["key"], F.lit("/$key")), refs).issues()
+            named = self.node(keys, from_typed(e["key"], T.StringType()), _join(_join(path, e["key"]), "$key"), refs).issues()
             return F.concat(named, own)
 
         arrays = [F.when(inside, F.flatten(F.transform(F.map_entries(entries), each))).otherwise(no_issues())]

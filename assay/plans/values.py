@@ -37,6 +37,7 @@ class Value:
     present_: Column | None = None
     changed: bool = False
     out: Column | None = field(default=None)  # the normalized column, where a validator has made one
+    rest: tuple[Column, T.DataType] | None = None  # of an object that has been rebuilt, a map of the unknown keys that it keeps
 
     # ---- kinds
     @property
@@ -91,7 +92,12 @@ class Value:
     def member(self, key: str) -> "Value":
         """The value under a key; missing if this is no object or lacks it."""
         if self.members is not None:
-            return self.members.get(key, missing())
+            if key in self.members or self.rest is None:
+                return self.members.get(key, missing())
+            kept, kind = self.rest
+            inner = from_typed(F.try_element_at(kept, F.lit(key)), kind)
+            there = F.coalesce(F.map_contains_key(kept, F.lit(key)), false())
+            return replace(inner, present_=there, null_=inner.null & there)
         if self.variant:
             quoted = key.replace("\\", "\\\\").replace('"', '\\"').replace("'", "\\'")
             return from_variant(F.try_variant_get(self.raw, f"$[\"{quoted}\"]", "variant"))
