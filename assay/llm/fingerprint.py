@@ -95,13 +95,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_of(F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     order = successors(rows.select("doc_id", "h", F.length("text").alias("n")).distinct())
-    given = order.select(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.expr("n div 3").cast("int").alias("need"))
-    lent = rows.join(given, rows["doc_id"].eqNullSafe(given["doc_id"]) & (rows["h"] == given["h"]))
-    lent = lent.select("to_id", "to_h", F.expr("substring(text, 1, need)").alias("tail"), sketch(F.col("text"), k).alias("next_sketch"))
-    lent = lent.groupBy("to_id", "to_h").agg(F.first("tail").alias("tail"), F.first("next_sketch").alias("next_sketch"))
-    met = rows.join(lent, rows["doc_id"].eqNullSafe(lent["to_id"]) & (rows["h"] == lent["to_h"]))
+    # one set of key columns without nulls, so that the joins and the aggregation between them share one partitioning
+    place = lambda id_, h: [F.coalesce(F.col(id_).cast("string"), F.lit("")).alias("id_key"), F.col(id_).isNull().alias("none"), F.col(h).alias("h_key")]
+    keys, kind = ["id_key", "none", "h_key"], rows.schema["doc_id"].dataType
+    rows = rows.select("text", *place("doc_id", "h"))  # the same columns on both ways, so that texts are exchanged once
+    given = order.select(*place("next_id", "next_h"), F.struct(*place("doc_id", "h")).alias("to"), F.expr("n div 3").cast("int").alias("need"))
+    lent = rows.join(given, keys).select("to.*", F.expr("substring(text, 1, need)").alias("tail"), sketch(F.col("text"), k).alias("next_sketch"))
+    lent = lent.groupBy(*keys).agg(F.first("tail").alias("tail"), F.first("next_sketch").alias("next_sketch"))
+    met = rows.join(lent, keys)
     n = F.length("text")
-    met = met.select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), "tail").alias("edited"), "next_sketch")
+    met = met.select(F.when(~F.col("none"), F.col("id_key").cast(kind)).alias("doc_id"), "text", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), "tail").alias("edited"), "next_sketch")
     met = met.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), k).alias("own"), sketch(F.col("edited"), k).alias("changed"), "next_sketch")
     return met.select(
         "doc_id",
