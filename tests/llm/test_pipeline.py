@@ -71,3 +71,24 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run_gives_what_the_stages_give(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_take_hard_rows_and_empty_tables(spark, frame, data, tmp_path):
+    from conftest_llm import HARD
+
+    for name, rows in (("hard", HARD), ("empty", [])):
+        docs = frame(rows)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}{k}")
+            stage(spark, docs, data).write.parquet(path)
+            after = spark.read.parquet(path)
+            assert k == 4 or after.columns == docs.columns
+            docs = after
+        assert (docs.count() > 0) == bool(rows)
+
+
+def test_each_stage_takes_hard_rows_by_itself(spark, frame, data):
+    from conftest_llm import HARD
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame(HARD), data).count() > 0
