@@ -101,3 +101,56 @@ def openapi(schema: Any) -> dict:
         return {"type": names.get(kind, "number"), **({"format": kind} if kind not in ("string", "number", "integer", "boolean") else {}), **limits, **about}
 
     return {"openapi": "3.1.0", "info": {"title": schema.title or schema.id or "schema", "version": schema.version}, "components": {"schemas": {"Root": describe(schema.root), **{k: describe(n) for k, n in schema.definitions.items()}}}}
+
+
+def dataclasses_source(schema: Any, root_name: str = "Root") -> str:
+    """Python source of dataclasses for the root and the definitions, nested objects as classes of their own."""
+    schema = Schema.from_json(schema)
+    done: list[str] = []
+    plain = {"string": "str", "date": "str", "boolean": "bool", "integer": "int", "int32": "int", "int64": "int", "uint32": "int", "uint64": "int", "money": "int", "any": "Any", "never": "None"}
+
+    def camel(name: str) -> str:
+        return "".join(p[:1].upper() + p[1:] for p in "".join(c if c.isalnum() else " " for c in name).split()) or "Empty"
+
+    def hint(node: dict, name: str) -> str:
+        kind = node["type"]
+        if kind in plain:
+            return plain[kind]
+        if kind in ("number", "currency", "decimal", "percentage"):
+            return "float"
+        if kind == "object":
+            return define(node, name)
+        if kind == "array":
+            return f"list[{hint(node['items'], name + 'Item')}]"
+        if kind == "tuple":
+            return f"tuple[{', '.join(hint(c, f'{name}Part{k}') for k, c in enumerate(node['items']))}]"
+        if kind == "record":
+            return f"dict[str, {hint(node['value'], name + 'Value')}]"
+        if kind in ("enum", "literal"):
+            return f"Literal[{', '.join(map(repr, node['values'] if kind == 'enum' else [node['value']]))}]"
+        if kind == "union":
+            return " | ".join(dict.fromkeys("None" if c == {"type": "literal", "value": None} else hint(c, f"{name}Choice{k}") for k, c in enumerate(node["oneOf"])))
+        if kind in ("preprocess", "catch"):
+            return hint(node["schema"], name)
+        return f'"{camel(node["$ref"])}"' if kind == "ref" else "Any"
+
+    def define(node: dict, name: str) -> str:
+        lines = []
+        for k, c in sorted(node["properties"].items(), key=lambda kc: not required(kc[1])):
+            own = k if k.isidentifier() else "field_" + "".join(x if x.isalnum() else "_" for x in k)
+            kind = hint(c, name + camel(k))
+            kind = kind if required(c) and not allows_null(schema, c) or kind == "Any" else f"{kind} | None" if "None" not in kind else kind
+            lines.append(f"    {own}: {kind}" + ("" if required(c) else " = None"))
+        done.append("@dataclass\nclass " + name + ":\n" + ("\n".join(lines) or "    pass"))
+        return name
+
+    for key, node in schema.definitions.items():
+        if node["type"] == "object":
+            define(node, camel(key))
+        else:
+            done.append(f"{camel(key)} = {hint(node, camel(key))}")
+    if schema.root["type"] == "object":
+        define(schema.root, root_name)
+    else:
+        done.append(f"{root_name} = {hint(schema.root, root_name)}")
+    return "from __future__ import annotations\n\nfrom dataclasses import dataclass\nfrom typing import Any, Literal\n\n\n" + "\n\n\n".join(done) + "\n"

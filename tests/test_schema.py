@@ -102,3 +102,11 @@ def test_generated_types():
     assert kinds == {"a": "int", "b": "string", "c": "array<decimal(10,2)>", "d": "map<string,double>", "e": "string", "f": "variant"}
     assert generate.ddl(s.to_schema()).startswith("`a` INT NOT NULL, `b` STRING")
     assert generate.openapi(s.to_schema())["components"]["schemas"]["Root"]["required"] == ["a", "c", "d", "e", "f"]
+
+
+def test_generated_classes_run():
+    s = w.object(a=w.int32(), b=w.string().optional(), c=w.object(d=w.array(w.number()), e=w.enum("x", 1)), f=w.record(w.boolean()).nullable()).to_schema()
+    names = {}
+    exec(generate.dataclasses_source(s, "Form"), names)
+    made = names["Form"](a=1, c=names["FormC"](d=[1.0], e="x"), f=None)
+    assert made.b is None and names["Form"].__annotations__["f"] == "dict[str, bool] | None" and names["FormC"].__annotations__["e"] == "Literal['x', 1]"
