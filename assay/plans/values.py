@@ -142,6 +142,8 @@ class Value:
         if self.out is not None:
             return self.out
         none = F.lit(None)
+        if not self.changed and isinstance(self.type, T.NumericType) and self.num is not None and kind not in ("string", "date", "boolean"):
+            return self.raw  # numbers keep their column's type
         if kind in ("string", "date"):
             return none.cast("string") if self.str is None else self.str
         if kind in ("integer", "int32", "int64", "uint32", "money"):
