@@ -4,8 +4,8 @@ Texts are byte strings after each run of blanks is replaced by one space. A roun
 digit, a run of successive bytes; a group that is down to one row is settled as unique, a group whose rows have no bytes left is a
 class of equal texts, and the rest go to the next round with a digit eight times as long. So each byte of a text is
 compared at most once, and rounds grow with the logarithm of the longest text. Groups are counted with partial
-aggregation, so a group with a third of all rows is one row per task by the time it is shuffled; its members are
-joined to that one row, a join whose large side the planner may split.
+aggregation, so a group with a third of all rows is one row per task by the time it is shuffled. The digits that occur more than once
+are written and joined back to the rows, always as a join of two exchanges (at every size alike), whose skewed side the planner splits.
 
 Nulls: a null text is empty, so all null and empty texts are equal. A null doc_id sorts last, and ``keep_id`` is null
 only if every doc_id of the group is. Repeated doc_ids: every row is returned, exactly one row of a group is kept.
@@ -34,6 +34,7 @@ def _settle(rows: DataFrame, first_digit: int, growth: int) -> DataFrame:
             .agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head"), F.min("rid").alias("next"))
             .filter("n > 1")
         )
+        groups = materialize(groups).hint("merge")
         tails = keyed.withColumn("rest", F.expr(f"substring(rest, {width + 1})"))  # the digit itself travels as a key
         split = tails.join(groups, ["gid", "ended", "digit"], "left")
         is_open = F.col("n").isNotNull() & ~F.col("ended")
