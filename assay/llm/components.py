@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star contraction.
 
-Every step is a partial-aggregated minimum per vertex and a join back to the edges, whose skewed side the planner may
-split; no adjacency list is ever gathered. Each round is written to the shared scratch folder, which cuts the lineage.
+Every step is a partial-aggregated minimum per vertex, written, and a join back to the edges: broadcast where the vertices are counted
+to be few, else a join of two exchanges, in which the planner splits the edges of a hub. No adjacency list is ever gathered. Each round is written to the shared scratch folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -23,11 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _digest(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(sized(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.filter("u <> v").distinct())
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(sized(low), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = materialize(small.filter("u <> v").distinct())
         last, seen = seen, _digest(now)
