@@ -1,8 +1,8 @@
 """SimHash near-duplicates: exact links within a Hamming radius, found with vantage-point trees.
 
 A fingerprint's bit is set if it is set in over half of the 64-bit hashes of the text's word shingles. The distinct
-fingerprints are spread over shards by a vantage-point tree fitted on a bounded sample (``SAMPLE`` fingerprints in hash
-order, used only to choose vantage points and split radii). A point at distance d from a node's vantage point goes inside if
+fingerprints are spread over shards by a vantage-point tree fitted on a bounded sample (``SAMPLE`` to ``MOST_SAMPLE``
+fingerprints in hash order, used only to choose vantage points and split radii). A point at distance d from a node's vantage point goes inside if
 d < mu and outside if d >= mu - radius; by the triangle inequality two points within the radius then share a leaf, and
 branches beyond the bound are pruned. Each shard splits itself further by the same rule down to small leaves, compares
 those in full and returns a spanning forest of their links, never all pairs. A shard that no vantage point can split
@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, text_of, with_row_id
+from .common import least_by_hash, materialize, sized, text_of, with_row_id
 from .components import components
 
 RADIUS = 2
-SAMPLE = 16_384
-SHARD = 32_768
+#: Fingerprints in the sample and points in a shard, at least and at most: both grow with the table, so that each of a
+#: shard's points is represented by some in the sample.
+SAMPLE, MOST_SAMPLE = 1 << 14, 1 << 20
+SHARD, MOST_SHARD = 1 << 15, 1 << 21
 LEAF = 384
 SEED = 42
 
@@ -187,7 +189,9 @@ def _by_blocks(points: np.ndarray, radius: int, rows: int = 512) -> tuple[np.nda
 def near_components(prints: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """prints: fp (long), distinct and written. Gives vertex, root for the fingerprints that have a link."""
     total = prints.count()
-    some = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
+    shard = min(max(shard, 64 * total // sample), max(shard, MOST_SHARD))
+    sample = min(max(sample, 64 * total // MOST_SHARD), max(sample, MOST_SAMPLE))
+    some = least_by_hash(prints.select("fp"), "fp", sample).toPandas()["fp"].to_numpy(np.int64)
     nodes = build(some.view(np.uint64), total, shard, radius, np.random.default_rng(SEED))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
