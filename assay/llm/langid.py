@@ -9,11 +9,11 @@ fold. With no labelled text at all everything is ``und``. An empty table gives a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ TRAIN_ROWS = 3000
 FOLDS, HELD_OUT = 4, 2
 REJECT = 0.002
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Model:

@@ -112,3 +112,8 @@ def test_hard_rows_and_empty_tables(spark, frame, run):
         assert (2, "und") in by and (3, "und") in by and (5, "en") in by
     if run == "quality":
         assert quality.keep_good(frame(HARD), labels).columns == frame(HARD).columns
+
+
+def test_only_letters_count_as_letters():
+    model = langid.Model(["en"], subwords.train(["a"], np.array([0]), 1, subwords.Features(bits=8), epochs=1))
+    assert model.predict(["²", "_1", "x", None, "漢"]).lang_pred.tolist() == ["und", "und", "en", "und", "en"]
