@@ -74,8 +74,8 @@ def validate(df: DataFrame, schema: Any, registry: Registry | None = None, apply
     root = schema.root["properties"]
     strip = schema.root.get("unknown_keys") == "strip"
     keep = [c for c in df.columns if c in root or not strip]
-    normal = [out.value.members[c].as_typed(root[c]["type"]).alias(c) if c in root and c in out.value.members else F.col(f"`{c}`") for c in keep]
-    filled = [out.value.members[c].as_typed(root[c]["type"]).alias(c) for c in root if c not in df.columns and ir.fills_missing(schema, root[c])]
+    normal = [out.value.members[c].as_typed(ir.value_kind(root[c])).alias(c) if c in root and c in out.value.members else F.col(f"`{c}`") for c in keep]
+    filled = [out.value.members[c].as_typed(ir.value_kind(root[c])).alias(c) for c in root if c not in df.columns and ir.fills_missing(schema, root[c])]
     flagged = staged.withColumns({"__failed": out.failed(), "__warned": out.some("warning")})
     return flagged.select(*normal, *filled, *_columns(out))
 

@@ -376,7 +376,7 @@ class Compiler:
             whole = F.map_concat(made, F.coalesce(rest, F.create_map().cast("map<string,variant>"))) if rest is not None else made
             out = F.when(inside, F.to_variant_object(whole)).otherwise(v.raw)
         elif isinstance(v.type, T.StructType):
-            fields = [members[k].as_typed(node["properties"].get(k, {"type": "any"})["type"]).alias(k) for k in members if k in node["properties"] or k in v.type.names]
+            fields = [members[k].as_typed(ir.value_kind(node["properties"].get(k, {"type": "any"}))).alias(k) for k in members if k in node["properties"] or k in v.type.names]
             out = F.when(inside, F.struct(*fields)) if fields else v.raw
         value = replace(v, out=out, changed=True, members=dict(members), rest=None if rest is None else (rest, kind))
         singles += self._constraints(node.get("rules"), value, path, inside)
@@ -400,7 +400,7 @@ class Compiler:
         if v.variant:
             out = F.when(inside, F.to_variant_object(F.transform(arr, lambda x, i: F.coalesce(each(x, i).value.as_variant(), variant_null())))).otherwise(v.raw)
         else:
-            out = F.transform(arr, lambda x, i: each(x, i).value.as_typed(node["items"]["type"]))
+            out = F.transform(arr, lambda x, i: each(x, i).value.as_typed(ir.value_kind(node["items"])))
         value = replace(v, out=out, changed=True)
         singles += self._constraints(node.get("constraints"), value, path, inside)
         return Out(value, singles, arrays)
@@ -445,7 +445,7 @@ class Compiler:
         if v.variant:
             out = F.when(inside, F.to_variant_object(F.transform_values(entries, lambda k, x: F.coalesce(normal(k, x).as_variant(), variant_null())))).otherwise(v.raw)
         else:
-            out = F.transform_values(entries, lambda k, x: normal(k, x).as_typed(node["value"]["type"]))
+            out = F.transform_values(entries, lambda k, x: normal(k, x).as_typed(ir.value_kind(node["value"])))
         return Out(replace(v, out=out, changed=True), singles, arrays)
 
 

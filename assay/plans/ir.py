@@ -227,3 +227,10 @@ def allows_null(schema: Schema, node: dict, seen: tuple = ()) -> bool:
 
 def required(node: dict) -> bool:
     return node.get("required", True) is not False
+
+
+def value_kind(node: dict) -> str:
+    """The kind of a node's normalized values, seen through wrappers."""
+    while node["type"] in ("preprocess", "catch"):
+        node = node["schema"]
+    return node["type"]

@@ -147,9 +147,12 @@ class Value:
         if kind in ("string", "date"):
             return none.cast("string") if self.str is None else self.str
         if kind in ("integer", "int32", "int64", "uint32", "money"):
-            if self.int is not None:
-                return self.int.cast("long")
-            return none.cast("long") if self.num is None else self.num.try_cast("long") if kind != "money" else self.num
+            if self.num is None:
+                return none.cast("long")
+            if kind == "money" and self.int is None:
+                return self.num
+            whole = self.num.try_cast("long")
+            return whole if self.int is None else F.coalesce(self.int.cast("long"), whole)
         if kind == "uint64":
             return none.cast("decimal(20,0)") if self.int is None else self.int.cast("decimal(20,0)")
         if kind in ("number", "currency", "decimal", "percentage"):
@@ -158,10 +161,11 @@ class Value:
             return none.cast("boolean") if self.bool is None else self.bool
         if not self.changed and self.raw is not None:
             return self.raw
-        for slot in (self.str, self.int, self.num, self.bool):
-            if slot is not None:
-                return slot
-        return none.cast("string")
+        if self.str is not None:
+            return F.coalesce(self.str, *[x.cast("string") for x in (self.int, self.num, self.bool) if x is not None])
+        if self.num is not None:
+            return F.coalesce(*[x.cast(self.type) for x in (self.int, self.num) if x is not None]) if isinstance(self.type, T.IntegralType) else self.num
+        return none.cast("string") if self.bool is None else self.bool
 
 
 def variant_null() -> Column:

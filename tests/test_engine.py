@@ -190,3 +190,23 @@ def test_arguments_change_predicates(spark):
         on("is_flight_number", "flight", known_carrier=True), on("is_base64", "b64", url_safe=True), on("is_base64", "b64"), on("is_account_number", "phone", allow_hyphens=False),
     ).first()
     assert list(got) == [True, False, True, True, False, False, True, False, True, True, False, False]
+
+
+def test_defaults_fill_nulls_and_missing_columns(people):
+    schema = {"type": "object", "unknown_keys": "passthrough", "properties": {"name": {"type": "string", "transforms": [{"fn": "default", "value": "none"}, {"fn": "upper"}]}, "level": {"type": "integer", "transforms": [{"fn": "default", "value": 3}]}}}
+    rows = {r.id: r for r in V.validate(people, schema).collect()}
+    assert (rows[3].name, rows[3].level, rows[3].valid) == ("NONE", 3, True) and rows[1].name == " ADA "
+
+
+def test_variant_columns_in_typed_mode(spark):
+    df = spark.sql("SELECT 1L AS id, parse_json('{\"a\": [1, \"x\"]}') AS doc")
+    schema = {"type": "object", "properties": {"id": {"type": "integer"}, "doc": {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "integer"}}}}}}
+    row = V.validate(df, schema).first()
+    assert [(e.path, e.code) for e in row.errors] == [("/doc/a/1", "TYPE_ERROR")]
+
+
+def test_typed_unions_and_catches(spark):
+    df = spark.createDataFrame([("5", 1.5), ("x", 2.0)], "s string, n double")
+    schema = {"type": "object", "properties": {"s": {"type": "union", "oneOf": [{"type": "string", "constraints": [{"pred": {"type": "call", "name": "is_digits"}, "error": {"code": "D"}}]}, {"type": "string", "transforms": [{"fn": "upper"}]}]}, "n": {"type": "catch", "schema": {"type": "integer"}, "value": 0}}}
+    rows = V.validate(df, schema).collect()
+    assert [(r.s, r.n, r.valid) for r in rows] == [("5", 0, True), ("X", 2, True)]
