@@ -6,6 +6,7 @@ JSON texts or variants and treats each as a document. Both are one projection wi
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from assay.functions import transforms
 from assay.plans import ir
 from assay.plans.compiler import Compiler, Out, Single, issue, no_issues
 from assay.plans.registry import Registry
-from assay.plans.values import Value, from_typed, from_variant
+from assay.plans.values import Value, from_typed, from_variant, variant_member
 
 
 class ValidationError(ValueError):
@@ -99,12 +100,19 @@ def validate_documents(df: DataFrame, schema: Any, column: str = "value", regist
     schema = ir.Schema.from_json(schema)
     text = not isinstance(df.schema[column].dataType, T.VariantType)
     raw = F.try_parse_json(F.col(f"`{column}`").cast("string")) if text else F.col(f"`{column}`")
+    given = df.columns
     df = df.withColumn("__document", raw)
     v = from_variant(F.col("__document"))
+    if schema.root["type"] == "object":  # members and their kinds become columns, read by all their constraints
+        names = {key: k for k, key in enumerate(schema.root["properties"])}
+        df = df.withColumns({f"__member{k}": variant_member(F.col("__document"), key) for key, k in names.items()}) if names else df
+        kinds = {key: k for key, k in names.items() if schema.root["properties"][key]["type"] in ir.SCALARS}
+        df = df.withColumns({f"__kind{k}": F.schema_of_variant(f"__member{k}") for k in kinds.values()}) if kinds else df
+        v = replace(v, staged={key: from_variant(F.col(f"__member{k}"), F.col(f"__kind{k}") if key in kinds else None) for key, k in names.items()})
     out = Compiler(schema, registry, apply_transforms, unroll).node(schema.root, v, "")
     broken = F.col("__document").isNull()
     out.singles.append(Single(broken, issue("INVALID_JSON", "not a JSON document", "")))
-    kept = [F.col(f"`{c}`") for c in df.columns if c != "__document"]
+    kept = [F.col(f"`{c}`") for c in given]
     flagged = df.withColumns({"__failed": out.failed(), "__warned": out.some("warning")})
     return flagged.select(*kept, out.value.as_variant().alias("normalized"), *_columns(out))
 

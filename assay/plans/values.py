@@ -37,6 +37,7 @@ class Value:
     present_: Column | None = None
     changed: bool = False
     out: Column | None = field(default=None)  # the normalized column, where a validator has made one
+    staged: dict | None = None  # members of a variant object that have been put into columns already
     rest: tuple[Column, T.DataType] | None = None  # of an object that has been rebuilt, a map of the unknown keys that it keeps
 
     # ---- kinds
@@ -98,9 +99,10 @@ class Value:
             inner = from_typed(F.try_element_at(kept, F.lit(key)), kind)
             there = F.coalesce(F.map_contains_key(kept, F.lit(key)), false())
             return replace(inner, present_=there, null_=inner.null & there)
+        if self.staged is not None and key in self.staged:
+            return self.staged[key]
         if self.variant:
-            quoted = key.replace("\\", "\\\\").replace('"', '\\"').replace("'", "\\'")
-            return from_variant(F.try_variant_get(self.raw, f"$[\"{quoted}\"]", "variant"))
+            return from_variant(variant_member(self.raw, key))
         if isinstance(self.type, T.StructType):
             if key not in self.type.names:
                 return missing()
@@ -176,10 +178,17 @@ def missing() -> Value:
     return Value(present_=false(), null_=false(), raw=F.lit(None).cast("variant"), type=T.VariantType())
 
 
-def from_variant(raw: Column) -> Value:
-    """A value whose kind is known per row only."""
-    kind = F.schema_of_variant(raw)
-    whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[2-3][0-9]),0\)$")
+def variant_member(raw: Column, key: str) -> Column:
+    """The variant under a key, SQL null if there is none."""
+    quoted = key.replace("\\", "\\\\").replace('"', '\\"').replace("'", "\\'")
+    return F.try_variant_get(raw, f"$[\"{quoted}\"]", "variant")
+
+
+def from_variant(raw: Column, kind: Column | None = None) -> Value:
+    """A value whose kind is known per row only; ``kind`` is its schema where that is a column already."""
+    kind = F.schema_of_variant(raw) if kind is None else kind
+    # whole numbers are BIGINT or, beyond that, DECIMAL(19,0) and wider; 1.0 is DECIMAL(1,0)
+    whole = (kind == "BIGINT") | (kind.endswith(",0)") & (F.length(kind) == 13) & (kind >= "DECIMAL(19,0)"))
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     return Value(
         str=F.when(kind == "STRING", F.try_variant_get(raw, "$", "string")),
