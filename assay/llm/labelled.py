@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_of
+from .common import fold_of, least_by_hash, materialize, text_of
 
 
 def sample(docs: DataFrame, labels: DataFrame | None, target: str, folds: int, held_out: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, object]]:
@@ -15,7 +15,7 @@ def sample(docs: DataFrame, labels: DataFrame | None, target: str, folds: int, h
     if labels is not None:
         ids = ids.select("id").distinct().join(labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{target}`").alias("label")), "id")
     ids = ids.filter(F.col("label").isNotNull() & F.col("id").isNotNull() & (fold_of("id", folds) != held_out))
-    chosen = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = least_by_hash(materialize(ids.groupBy("id").agg(F.max("label").alias("label"))), "id", rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(F.col(f"`{text_col}`")).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").collect()  # both sides bounded by ``rows``, but for repeated ids
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["id"], r["text"]))][:rows]
