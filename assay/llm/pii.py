@@ -1,10 +1,11 @@
 """Personal data in texts: exact patterns, and a linear-chain conditional random field for what patterns miss.
 
 The patterns give email, ip, card and phone spans. The random field labels the tokens (runs of letters and digits, single signs)
-of every stretch of text within ``AROUND`` characters of a digit, from word-shape features of a token and its neighbours and a few cue
+of every stretch of text within ``AROUND`` characters of a digit, of a cue word for secrets or of a long run of letters in mixed or upper
+case, from word-shape features of a token and its neighbours and a few cue
 words. It is trained by maximum likelihood from a small labelled table (``labelled_table``, or one given) and decoded by Viterbi over
 padded numpy batches of sequences. Its phone, secret and ssn spans that touch no pattern's span are added; pattern spans always stay.
-Stretches without a digit near them are outside the field's alphabet of labels and are not decoded.
+A secret may have no digit at all. Stretches without any of these marks are not decoded.
 
 All positions are code points, ends exclusive. Every scan is linear in the text, also for very long runs without blanks. Null and empty
 texts have no spans (empty strings, zero counts). Null and repeated doc_ids and repeated rows each get their own row. An empty table gives
@@ -36,6 +37,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
+#: What a stretch is decoded around: digits, cue words for secrets, runs of letters that may be a secret by themselves.
+_MARK = re.compile(r"[0-9]+|(?<![^\W_])(?i:token|key|secret|password|passwd|pwd|api|auth|bearer)(?![^\W_])|(?<![^\W_])(?=[A-Za-z]*[A-Z])[A-Za-z]{12,}+")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -81,13 +84,16 @@ def shape(token: str) -> str:
     """What kind of word a token is: a sign itself, or letters and digits by case and mixture, with its length class."""
     if not token[0].isalnum():
         return token
+    if len(token) == 20 and token.startswith("AKIA"):
+        return "AKIA"
     if token.isdigit():
         return "d" + _length(len(token))
     if any(map(str.isdigit, token)):
         low = token.lower() == token
         hex_ = "h" if all(c in "0123456789abcdefABCDEF" for c in token) else "m"
         return hex_ + ("l" if low else "u" if token.upper() == token else "c") + _length(len(token))
-    return "w" + ("l" if token.islower() else "u" if token.isupper() else "t") + ("" if len(token) < 16 else "+")
+    case = "l" if token.islower() else "u" if token.isupper() else "t" if token[1:].islower() else "c"
+    return "w" + case + ("" if len(token) < 12 else "~" if len(token) < 16 else "+" if len(token) < 20 else "++")
 
 
 def features(tokens: list[str]) -> list[list[str]]:
@@ -137,6 +143,23 @@ SENTENCES = (
     "phone {local} or {phone}",
     "item {mixed} is in stock , order {number}",
     "about {small} - {two} - {year} they left",
+    "password=\"{phrase}\" was set",
+    "passwd = {phrase}",
+    "pwd : \"{phrase}\" ;",
+    "secret={phrase} in the file",
+    "with key {phrase} you log in",
+    "api token \"{letters}\" was leaked",
+    "the key {letters} expired",
+    "bearer {letters} was sent",
+    "use {letters} for the upload",
+    "the secret of {long} lies in {long} and {long} alone",
+    "a key word , {long} , the key to {long} .",
+    "password policy and {long} , token by token",
+    "a new password is {long} ; the api of {long}",
+    "the auth page : {long} {long}",
+    "{name} and {name} wrote to {name}",
+    "{loud} AND {loud} : {long}",
+    "class {camel} calls {camel} , see {camel}",
 )
 
 
@@ -153,7 +176,17 @@ def _value(kind: str, rng: random.Random) -> str:
     if kind == "secret":
         return rng.choice((letters("0123456789abcdef", rng.choice((18, 32, 40))), letters(low + low.upper() + "0123456789", rng.choice((20, 24, 36)))))
     if kind == "key":
-        return "AKIA" + letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 14) + digits(2)
+        return "AKIA" + letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)
+    if kind == "letters":
+        return letters(low + low.upper(), rng.choice((20, 24, 36)))
+    if kind == "phrase":
+        words = [letters(low, rng.randrange(4, 8)) for _ in range(4)]
+        return "".join(w.title() for w in words) if rng.random() < 0.7 else "".join(words)
+    if kind in ("long", "name", "loud"):
+        word = letters(low, rng.randrange(6, 20))
+        return word if kind == "long" else word.title() if kind == "name" else word.upper()
+    if kind == "camel":
+        return "".join(letters(low, rng.randrange(3, 7)).title() for _ in range(rng.randrange(2, 5)))
     if kind == "ssn":
         return f"{digits(3)}-{digits(2)}-{digits(4)}"
     if kind == "ip":
@@ -166,7 +199,7 @@ def _value(kind: str, rng: random.Random) -> str:
 def labelled_table(repeats: int = 12, seed: int = 11) -> list[tuple[int, str, str]]:
     """A small table of (sentence, token, label), made from the sentence patterns."""
     rng, rows, number = random.Random(seed), [], 0
-    as_label = {"local": "phone", "key": "secret"}
+    as_label = {"local": "phone", "key": "secret", "letters": "secret", "phrase": "secret"}
     for _ in range(repeats):
         for pattern in SENTENCES:
             for part in re.split(r"(\{\w+\})", pattern):
@@ -285,9 +318,9 @@ def train(rows: list[tuple[int, str, str]], steps: int = 120, rate: float = 0.5,
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text near digits, cut at blanks where there are any."""
+    """The parts of a text near digits, cue words and long words with capitals, cut at blanks where there are any."""
     out: list[list[int]] = []
-    for m in _DIGITS.finditer(text):
+    for m in _MARK.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if out and a <= out[-1][1]:
             out[-1][1] = b
@@ -323,7 +356,7 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list, list]]:
             if kind in ADDED:
                 a, b = found[first][0], found[t - 1][1]
                 digits = sum(map(str.isdigit, texts[k][a:b]))
-                if digits >= 2 and (kind != "phone" or 8 <= digits <= 15) and (kind != "ssn" or digits == 9) and (kind != "secret" or b - a >= 12):
+                if (kind != "phone" or 8 <= digits <= 15) and (kind != "ssn" or digits == 9) and (kind != "secret" or b - a >= 12):
                     if not any(x < b and a < y for _, x, y in base[k]):
                         more[k].append((kind, a, b))
     return list(zip(base, more))

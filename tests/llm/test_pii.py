@@ -81,3 +81,30 @@ def test_rows(frame):
         elif r.doc_id == 2:
             assert r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.find(frame([])).collect() == []
+
+
+def test_secrets_need_no_digits(field):
+    rng, found, total = random.Random(3), {}, {}
+    letters = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    makers = {
+        "mixed": lambda: letters(low + low.upper() + "0123456789", 20),
+        "akia": lambda: "AKIA" + letters(low.upper() + "234567", 16),
+        "letters": lambda: letters(low + low.upper(), 24),
+        "phrase": lambda: "".join(letters(low, rng.randrange(4, 8)).title() for _ in range(4)),
+    }
+    for kind, make in makers.items():
+        for around in ('they found password="{}" in the file', 'an api token "{}" was leaked', "use key {} for the upload"):
+            for _ in range(100):
+                value = make()
+                text = around.format(value)
+                spans = {text[a:b] for k, a, b in pii.spans_of([text], field)[0][1] if k == "secret"}
+                found[kind], total[kind] = found.get(kind, 0) + (value in spans), total.get(kind, 0) + 1
+    assert all(found[k] >= 0.97 * total[k] for k in makers), found
+    text = 'password="CorrectHorseBatteryStaple"'
+    assert pii.spans_of([text], field)[0][1] == [("secret", 10, 35)]
+
+
+def test_words_near_cues_are_no_secrets(field):
+    for text in ("the secret of their extraordinary understanding was a key to internationalization", "the password is misunderstanding", "Wolfeschlegelsteinhausen and the INTERNATIONALISATION of law"):
+        assert pii.spans_of([text], field)[0][1] == []
