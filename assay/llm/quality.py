@@ -1,7 +1,8 @@
 """A quality classifier: supervised subword embeddings (see ``subwords``), two classes.
 
 Fitted on at most ``TRAIN_ROWS`` labelled documents outside the held-out fold; scores every whole text. A null or empty
-text has no features and gets the model's prior. Without any label every score is 0.5. Null and repeated doc_ids are
+text has no features and gets the model's prior. Without any usable label (none, or only null or held-out ones) every score is 0.5, and
+``keep_good`` keeps every row. Null and repeated doc_ids are
 scored like any other row; a null doc_id is in no fold (held_out is null). An empty table gives an empty result.
 Only the id and the text are read, so other columns' names never clash.
 """
@@ -25,7 +26,10 @@ THRESHOLD = 0.7
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    pairs = sample(docs, labels, target, FOLDS, HELD_OUT, rows, id_col, text_col)
+    return _fitted(sample(docs, labels, target, FOLDS, HELD_OUT, rows, id_col, text_col))
+
+
+def _fitted(pairs: list[tuple[str, int]]) -> Scorer:
     return train([t for t, _ in pairs], np.array([int(y) for _, y in pairs], np.int64), 2, Features())
 
 
@@ -49,7 +53,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    """The rows of ``docs`` that the classifier does not reject, with all their columns; all rows where no label can be fitted on."""
+    pairs = sample(docs, labels, "quality", FOLDS, HELD_OUT, TRAIN_ROWS, id_col, text_col)
+    if not pairs:
+        return docs
+    model = _fitted(pairs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.filter(score(model, docs, F.col("row")[text_col]) >= threshold).select("row.*")
