@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from assay.functions.predicates import reference
 from assay.functions.predicates.lite import lite
 from assay.operators import batch, report
 from assay.operators import validation as V
+from assay.operators.scratch import folder
 from assay.plans import generate
 from assay.plans.registry import Registry
 from assay.plans.values import from_typed
@@ -99,8 +99,8 @@ register(
 )
 register(
     "validate_or_raise",
-    lambda s, d: V.validate_or_raise(table(s, d, "region"), {"type": "object", "properties": {}, "unknown_keys": "passthrough"}).select("valid"),
-    "SELECT true AS valid FROM region",
+    lambda s, d: V.validate_or_raise(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), {"type": "object", "properties": {"o_orderkey": {"type": "integer"}, "o_orderstatus": {"type": "enum", "values": ["F", "O", "P"]}}}).select("o_orderkey", "valid"),
+    "SELECT o_orderkey, true AS valid FROM orders",
 )
 
 LINE_SCHEMA = {
@@ -220,37 +220,48 @@ for _n, _op in (("is_non_negative", ">="), ("is_positive", ">")):
 # ---------------------------------------------------------------- sources, sinks and streams
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="assay-")
-    return f"{base.rstrip('/')}/assay-io/{uuid.uuid4().hex}"
+#: Customers spread over several files and splits, with whole numbers of 19 digits and beyond, and cells that are no numbers.
+CELLS = "CASE c_custkey % 5 WHEN 0 THEN '9223372036854775807' WHEN 1 THEN '1234567890123456789' WHEN 2 THEN '9223372036854775808' WHEN 3 THEN '1.5' ELSE concat('x', cast(c_custkey AS string)) END"
 
 
 def _csv_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
-    table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("Key"), F.col("n_name").alias("Name")).write.option("header", True).csv(path)
-    schema = {"version": "1.0", "import": {"enabled": True, "column_mappings": {"Key": "key", "Name": "name"}, "required_columns": ["Key"], "max_rows": 1000}, "root": w.object(key=w.integer().range(0, 20), name=w.string().lower()).to_dict()}
+    path = folder(spark)
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS Key", "c_name AS Name", f"{CELLS} AS Cell")
+    rows.repartitionByRange(7, "Key").sortWithinPartitions("Key").write.option("header", True).csv(path)
+    schema = {"version": "1.0", "import": {"enabled": True, "column_mappings": {"Key": "key", "Name": "name", "Cell": "cell"}, "required_columns": ["Key"]}, "root": w.object(key=w.integer().range(0, 1000), name=w.string().lower(), cell=w.any()).to_dict()}
     out = readers.import_csv(spark, path, schema)
-    return out.select(F.variant_get("normalized", "$.key", "bigint").alias("key"), F.variant_get("normalized", "$.name", "string").alias("name"), "valid")
+    got = lambda k, t: F.variant_get("normalized", f"$.{k}", t)
+    return out.select("row", got("key", "bigint").alias("key"), got("name", "string").alias("name"), F.to_json(got("cell", "variant")).alias("cell"), "valid")
 
 
-register("source_csv_import", _csv_round, "SELECT cast(n_nationkey AS BIGINT) AS key, lower(n_name) AS name, n_nationkey <= 20 AS valid FROM nation")
+register(
+    "source_csv_import",
+    _csv_round,
+    f"SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row, c_custkey AS key, lower(c_name) AS name, CASE c_custkey % 5 WHEN 2 THEN '9.223372036854776E18' WHEN 4 THEN '\"x' || c_custkey || '\"' ELSE {CELLS} END AS cell, c_custkey <= 1000 AS valid FROM customer",
+)
 
 
 def _lines_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
-    table(spark, sf_dir, "region").select(F.to_json(F.struct("r_regionkey", "r_name")).alias("value")).write.text(path)
-    out = readers.read_json_lines(spark, path, w.object(r_regionkey=w.integer(), r_name=w.string().lower()).to_schema())
-    back = _folder(spark)
+    path = folder(spark)
+    table(spark, sf_dir, "orders").select(F.to_json(F.struct("o_orderkey", "o_orderstatus")).alias("value")).write.text(path)
+    out = readers.read_json_lines(spark, path, w.object(o_orderkey=w.integer(), o_orderstatus=w.string().lower()).to_schema())
+    back = folder(spark)
     readers.write_json_lines(out, back)
-    return spark.read.schema("r_regionkey int, r_name string").json(back)
+    return spark.read.schema("o_orderkey long, o_orderstatus string").json(back)
+
+
+register("source_json_lines", _lines_round, "SELECT o_orderkey, lower(o_orderstatus) AS o_orderstatus FROM orders")
+
+
+def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request over several partitions, taken apart; a request is small by contract, so its table is."""
+    rows = table(spark, sf_dir, "nation").repartitionByRange(5, "n_nationkey").sortWithinPartitions("n_nationkey").select("n_nationkey", "n_name")
+    schema = w.object(n_nationkey=w.integer().range(0, 20, "FAR"), n_name=w.string().lower()).to_schema()
+    good, bad = readers.bulk_split(rows, schema)
+    return good.select("_row_index", "n_name", F.lit("").alias("codes")).unionByName(bad.select("_row_index", F.lit(None).cast("string").alias("n_name"), V.issue_codes(F.col("errors")).alias("codes")))
 
 
-register("source_json_lines", _lines_round, "SELECT r_regionkey, lower(r_name) AS r_name FROM region")
-register("source_bulk", lambda s, d: readers.bulk(table(s, d, "nation").select("n_nationkey"), {"type": "object", "properties": {"n_nationkey": {"type": "integer"}}}).select("n_nationkey", "valid"), "SELECT n_nationkey, true AS valid FROM nation")
+register("source_bulk", _bulk, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row_index, CASE WHEN n_nationkey <= 20 THEN lower(n_name) END AS n_name, CASE WHEN n_nationkey <= 20 THEN '' ELSE '/n_nationkey:FAR' END AS codes FROM nation")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +269,9 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
     checked_ = streams.validate_stream(stream.select("event_id", "value"), {"type": "object", "properties": {"event_id": {"type": "integer"}, "value": {"type": "number", "constraints": [{"pred": {"type": "range", "max": 50}, "error": {"code": "LARGE"}}]}}})
-    folder = _folder(spark)
-    streams.route(checked_.drop("errors", "warnings"), f"{folder}/valid", f"{folder}/invalid", f"{folder}/checkpoint").awaitTermination()
-    read = lambda name: spark.read.parquet(f"{folder}/{name}").select("event_id", "valid")
+    place = folder(spark)
+    streams.route(checked_.drop("errors", "warnings"), f"{place}/valid", f"{place}/invalid", f"{place}/checkpoint").awaitTermination()
+    read = lambda name: spark.read.parquet(f"{place}/{name}").select("event_id", "valid")
     return read("valid").unionByName(read("invalid"))
 
 
@@ -275,4 +286,5 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("schema_struct_type", _generated, "SELECT * FROM (VALUES ('c_custkey', 'bigint', false), ('c_name', 'string', false), ('c_nationkey', 'int', false), ('c_acctbal', 'double', false), ('c_mktsegment', 'string', false)) t(name, type, nullable)")
-register("schema_openapi", lambda s, d: s.createDataFrame([(json.dumps(generate.openapi(customer_schema())["components"]["schemas"]["Root"]["required"]),)], "required string"), """SELECT '["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]' AS required""")
+_OPENAPI_ROOT = """SELECT '["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]' AS required"""
+register("schema_openapi", lambda s, d: s.createDataFrame([(json.dumps(generate.openapi(customer_schema())["components"]["schemas"]["Root"]["required"]),)], "required string"), _OPENAPI_ROOT)

@@ -101,6 +101,8 @@ node_query("required_with", "customer", {"type": "required_with", "field": "/a",
 node_query("required_without", "customer", {"type": "required_without", "field": "/a", "without": "/b"}, "b IS NOT NULL OR a IS NOT NULL", SPARSE)
 node_query("exactly_one_of", "customer", {"type": "exactly_one_of", "paths": ["/a", "/b"]}, "(a IS NOT NULL) <> (b IS NOT NULL)", SPARSE)
 node_query("eq_fields", "customer", {"type": "eq_fields", "left": "/m", "right": "/n"}, "m = n", SPARSE)
+node_query("eq_fields_each", "customer", {"type": "eq_fields", "left": "/p/*", "right": "/q/*"}, "c_custkey % 3 = c_custkey % 6 AND c_custkey % 4 <> 0", "CASE WHEN c_custkey % 4 = 0 THEN array(c_custkey, 1) ELSE array(1, c_custkey % 3) END AS p, array(1, c_custkey % 6) AS q")
+ORACLES["node_eq_fields_each"] = "SELECT c_custkey, c_custkey % 3 = c_custkey % 6 AND c_custkey % 4 <> 0 AS ok FROM customer"
 for _op, _sign in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
     node_query(f"{_op}_field", "customer", {"type": f"{_op}_field", "left": "/m", "right": "/n"}, f"m {_sign} n", SPARSE)
 node_query("sum_equals", "customer", {"type": "sum_equals", "paths": ["/m", "/n"], "target": "/q"}, "m + n = q", SPARSE + ", c_custkey % 10 AS q")
@@ -198,5 +200,13 @@ MEMBERS = {"a": {"type": "number"}, "b": {"type": "string", "required": False}}
 type_query("object", OBJECTS, {"type": "object", "properties": MEMBERS}, "CASE x WHEN '{\"b\":\"x\"}' THEN '/a:REQUIRED' WHEN '{\"a\":null}' THEN '/a:REQUIRED' WHEN '{\"a\":\"1\"}' THEN '/a:TYPE_ERROR' WHEN '{\"a\":1,\"z\":2}' THEN '/z:ADDITIONAL_PROPERTY_NOT_ALLOWED' WHEN '7' THEN ':TYPE_ERROR' ELSE '' END")
 type_query("object_catchall", OBJECTS, {"type": "object", "properties": MEMBERS, "catchall": {"type": "string"}}, "CASE x WHEN '{\"b\":\"x\"}' THEN '/a:REQUIRED' WHEN '{\"a\":null}' THEN '/a:REQUIRED' WHEN '{\"a\":\"1\"}' THEN '/a:TYPE_ERROR' WHEN '{\"a\":1,\"z\":2}' THEN '/z:TYPE_ERROR' WHEN '7' THEN ':TYPE_ERROR' ELSE '' END")
 type_query("ref", OBJECTS, {"version": "1.0", "definitions": {"A": {"type": "object", "properties": MEMBERS, "unknown_keys": "passthrough"}}, "root": {"$ref": "A"}}, "CASE x WHEN '{\"b\":\"x\"}' THEN '/a:REQUIRED' WHEN '{\"a\":null}' THEN '/a:REQUIRED' WHEN '{\"a\":\"1\"}' THEN '/a:TYPE_ERROR' WHEN '7' THEN ':TYPE_ERROR' ELSE '' END")
-TREES = samples('{"v":1}', '{"v":1,"next":{"v":2}}', '{"v":1,"next":{"v":"x"}}', '{"v":1,"next":{"v":1,"next":{}}}')
-type_query("ref_recursive", TREES, {"version": "1.0", "definitions": {"N": {"type": "object", "properties": {"v": {"type": "number"}, "next": {"$ref": "N", "required": False}}}}, "root": {"$ref": "N"}}, "CASE k % 4 WHEN 2 THEN '/next/v:TYPE_ERROR' WHEN 3 THEN '/next/next/v:REQUIRED' ELSE '' END")
+
+
+def chain(n: int, last: str = "1") -> str:
+    """A list of n nodes, each but the last with a next one."""
+    return '{"v":1,"next":' * (n - 1) + f'{{"v":{last}}}' + "}" * (n - 1)
+
+
+#: A node lies two levels below the one before it (reference and object), its value one more: of 128 levels the 64th node's value is the first beyond.
+TREES = samples('{"v":1}', '{"v":1,"next":{"v":"x"}}', '{"v":1,"next":{"v":1,"next":{}}}', *(chain(n, v) for n in (2, 5, 20, 63) for v in ("1", '"x"')), chain(64))
+type_query("ref_recursive", TREES, {"version": "1.0", "definitions": {"N": {"type": "object", "properties": {"v": {"type": "number"}, "next": {"$ref": "N", "required": False}}}}, "root": {"$ref": "N"}}, "CASE k % 12 WHEN 1 THEN '/next/v:TYPE_ERROR' WHEN 2 THEN '/next/next/v:REQUIRED' WHEN 4 THEN '/next/v:TYPE_ERROR' WHEN 6 THEN repeat('/next', 4) || '/v:TYPE_ERROR' WHEN 8 THEN repeat('/next', 19) || '/v:TYPE_ERROR' WHEN 10 THEN repeat('/next', 62) || '/v:TYPE_ERROR' WHEN 11 THEN repeat('/next', 63) || '/v:MAX_DEPTH_EXCEEDED' ELSE '' END")

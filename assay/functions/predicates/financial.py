@@ -127,7 +127,7 @@ on_text("is_ean")(lambda s, a: _product(s, 13, [1, 3] * 6 + [1]))
 
 @on_text("is_isbn")
 def is_isbn(s: Column, args: dict) -> Column:
-    d = F.regexp_replace(T.strip(s), "[ -]", "")
+    d = F.regexp_replace(s, rf"[{T.WHITE}\-]", "")
     last = F.when(F.upper(T.at(d, 9)) == "X", 10).otherwise(T.digit(d, 9))
     ten = T.whole(d, "[0-9]{9}[0-9Xx]") & ((T.weighted(d, [10, 9, 8, 7, 6, 5, 4, 3, 2]) + last) % 11 == 0)
     thirteen = T.whole(d, "97[89][0-9]{10}") & (T.weighted(d, [1, 3] * 6 + [1]) % 10 == 0)

@@ -187,7 +187,7 @@ def format_thousands(v: Value, args: dict) -> Value:
         kept = T.money_chars(s)
         size = F.regexp_replace(kept, "^-+", "")
         head = F.substring_index(size, ".", 1)
-        tail = F.when(size.contains("."), F.concat(F.lit("."), size.substr(F.length(head) + 2, F.lit(1 << 20)))).otherwise("")
+        tail = F.when(size.contains("."), F.concat(F.lit("."), size.substr(F.length(head) + 2, F.length(size)))).otherwise("")
         grouped = F.replace(F.regexp_replace(head, r"(?<=[0-9])(?=(?:[0-9]{3})+\z)", ","), F.lit(","), F.lit(mark)) if mark else head
         return F.when(T.whole(head, "[0-9]+"), F.concat(F.when(kept.startswith("-"), "-").otherwise(""), grouped, tail))
 

@@ -1,7 +1,8 @@
 """Validating and normalizing DataFrames against a schema.
 
 Typed mode takes a table's columns as the members of the root object (SQL null is JSON null). Variant mode takes one column of
-JSON texts or variants and treats each as a document. Both are one projection without shuffle, on batch and streaming frames.
+JSON texts or variants and treats each as a document. Both are one projection without shuffle, on batch and streaming frames;
+documents whose references nest deeper than ``unroll`` take further rounds (see ``deep``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from assay.plans.compiler import Compiler, Out, Single, issue, no_issues
 from assay.plans.registry import Registry
 from assay.plans.values import Value, from_typed, from_variant, variant_member
 
+from . import deep
+
 
 class ValidationError(ValueError):
     """Raised by ``validate_or_raise``; ``rows`` has some of the invalid rows."""
@@ -61,17 +64,16 @@ def _strip_chains(schema: ir.Schema) -> ir.Schema:
     return ir.Schema(**{**schema.__dict__, "root": root})
 
 
-def _compiled(df: DataFrame, schema: ir.Schema, registry: Registry | None, apply_transforms: bool, unroll: int) -> tuple[DataFrame, Out, list[str]]:
+def _compiled(df: DataFrame, schema: ir.Schema, registry: Registry | None, apply_transforms: bool, unroll: int | None) -> tuple[DataFrame, Out]:
     staged, members, added = _staged(df, schema, apply_transforms)
     plain = _strip_chains(schema) if added else schema
-    out = Compiler(plain, registry, apply_transforms, unroll).node(plain.root, Value(members=members), "")
-    return staged, out, added
+    return deep.resolved(staged, plain, lambda c: c.node(plain.root, Value(members=members), ""), registry, apply_transforms, unroll)
 
 
-def validate(df: DataFrame, schema: Any, registry: Registry | None = None, apply_transforms: bool = True, unroll: int = 4) -> DataFrame:
+def validate(df: DataFrame, schema: Any, registry: Registry | None = None, apply_transforms: bool = True, unroll: int | None = None) -> DataFrame:
     """Typed mode: the columns normalized, then ``valid``, ``errors`` and ``warnings``."""
     schema = ir.Schema.from_json(schema)
-    staged, out, _ = _compiled(df, schema, registry, apply_transforms, unroll)
+    staged, out = _compiled(df, schema, registry, apply_transforms, unroll)
     root = schema.root["properties"]
     strip = schema.root.get("unknown_keys") == "strip"
     keep = [c for c in df.columns if c in root or not strip]
@@ -87,14 +89,16 @@ def _columns(out: Out) -> list[Column]:
     return [listed("__failed", "error"), listed("__warned", "warning"), (~F.col("__failed")).alias("valid")]
 
 
-def is_valid(df: DataFrame, schema: Any, registry: Registry | None = None) -> Column:
-    """Whether each row is valid, as one boolean over the frame's columns, for filters."""
+def is_valid(df: DataFrame, schema: Any, registry: Registry | None = None, unroll: int | None = None) -> Column:
+    """Whether each row is valid, as one boolean over the frame's columns, for filters. Typed columns are seen to their full
+    depth; in a variant column a reference opens ``unroll`` times (4) inside itself, as a single expression can't go
+    further: ``validate`` and ``split_valid`` can."""
     schema = ir.Schema.from_json(schema)
     members = {c: from_typed(F.col(f"`{c}`"), df.schema[c].dataType) for c in df.columns}
-    return ~Compiler(schema, registry).node(schema.root, Value(members=members), "").failed()
+    return ~Compiler(schema, registry, unroll=unroll or 4).node(schema.root, Value(members=members), "").failed()
 
 
-def validate_documents(df: DataFrame, schema: Any, column: str = "value", registry: Registry | None = None, apply_transforms: bool = True, unroll: int = 4) -> DataFrame:
+def validate_documents(df: DataFrame, schema: Any, column: str = "value", registry: Registry | None = None, apply_transforms: bool = True, unroll: int | None = None) -> DataFrame:
     """Variant mode: a column of JSON texts or variants. Adds ``normalized`` (variant), ``valid``, ``errors`` and ``warnings``;
     texts that are no JSON get one error, INVALID_JSON."""
     schema = ir.Schema.from_json(schema)
@@ -109,7 +113,7 @@ def validate_documents(df: DataFrame, schema: Any, column: str = "value", regist
         kinds = {key: k for key, k in names.items() if schema.root["properties"][key]["type"] in ir.SCALARS}
         df = df.withColumns({f"__kind{k}": F.schema_of_variant(f"__member{k}") for k in kinds.values()}) if kinds else df
         v = replace(v, staged={key: from_variant(F.col(f"__member{k}"), F.col(f"__kind{k}") if key in kinds else None) for key, k in names.items()})
-    out = Compiler(schema, registry, apply_transforms, unroll).node(schema.root, v, "")
+    df, out = deep.resolved(df, schema, lambda c: c.node(schema.root, v, ""), registry, apply_transforms, unroll)
     broken = F.col("__document").isNull()
     out.singles.append(Single(broken, issue("INVALID_JSON", "not a JSON document", "")))
     kept = [F.col(f"`{c}`") for c in given]

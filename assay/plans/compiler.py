@@ -1,7 +1,8 @@
 """From a schema to columns: the normalized value and the issues of each row, in one projection.
 
 A node's order is transforms, kind, constraints, parts; an object's rules see its normalized members and run even if members
-failed. References are unrolled; issues are structs of code, message, path, severity, help and source, and a row is valid
+failed. References are unrolled a few times; what lies deeper is opened as rows of its own and its results looked up (see
+``operators.deep``). Issues are structs of code, message, path, severity, help and source, and a row is valid
 if none of them has severity error.
 """
 
@@ -21,16 +22,26 @@ from assay.functions import transforms
 from . import ir
 from .predicates import compile_predicate
 from .registry import Registry
-from .values import Value, equals, false, from_typed, literal, missing, true, variant_null
+from .values import Value, equals, false, from_typed, from_variant, literal, missing, true, variant_null
 
 ISSUE = T.StructType([T.StructField(n, T.StringType()) for n in ("code", "message", "path", "severity", "help", "source")])
 NO_ISSUES = f"array<{ISSUE.simpleString()}>"
+#: How deep nodes may lie in nodes, references counted; a fixed value.
+MAX_DEPTH = 128
+#: A reference left open: what its result is known by, the definition, where it stands, how deep, and the value.
+OPEN = "struct<key:string,name:string,path:string,level:int,raw:variant>"
+#: The results of open references by key.
+BELOW = f"map<string,struct<issues:{NO_ISSUES},normal:variant>>"
 
 
 def no_issues() -> Column:
     return F.array().cast(NO_ISSUES)
 
 
+def none_open() -> Column:
+    return F.array().cast(f"array<{OPEN}>")
+
+
 @dataclass(frozen=True)
 class Single:
     """An issue that a row has where a condition holds."""
@@ -60,6 +71,11 @@ class Out:
     value: Value
     singles: list[Single] = field(default_factory=list)
     arrays: list[Column] = field(default_factory=list)
+    opens: list[Column] = field(default_factory=list)
+
+    def opened(self) -> Column:
+        """The references left open, of a compiler that collects them."""
+        return none_open() if not self.opens else self.opens[0] if len(self.opens) == 1 else F.concat(*self.opens)
 
     def listed(self, severity: str | None) -> Column:
         wanted = [s for s in self.singles if severity in (None, s.severity)]
@@ -80,7 +96,11 @@ class Out:
         return self.some("error")
 
     def when(self, condition: Column) -> "Out":
-        return Out(self.value, [replace(s, holds=condition & s.holds) for s in self.singles], [F.when(condition, a).otherwise(no_issues()) for a in self.arrays])
+        return Out(self.value, [replace(s, holds=condition & s.holds) for s in self.singles], [F.when(condition, a).otherwise(no_issues()) for a in self.arrays], _gated(condition, self.opens))
+
+
+def _gated(condition: Column, opens: list[Column]) -> list[Column]:
+    return [F.when(condition, o).otherwise(none_open()) for o in opens]
 
 
 Path = str | Column
@@ -104,10 +124,15 @@ def issue(code: str, message: str | Column, path: Path, severity: str = "error",
 
 
 class Compiler:
-    """Compiles one schema. ``unroll`` bounds how often a reference may open inside itself; deeper values get MAX_DEPTH_EXCEEDED."""
+    """Compiles one schema.
+
+    ``unroll`` is how often a reference opens inside itself before it is left open: its result is then looked up in ``below``
+    or, with ``collect``, the reference listed; without either the value gets MAX_DEPTH_EXCEEDED. A typed column is finite
+    and never left open. ``level`` is how deep the first node lies; nodes beyond ``MAX_DEPTH`` are errors."""
 
-    def __init__(self, schema: ir.Schema, registry: Registry | None = None, apply_transforms: bool = True, unroll: int = 4):
+    def __init__(self, schema: ir.Schema, registry: Registry | None = None, apply_transforms: bool = True, unroll: int = 4, level: int = 0, below: Column | None = None, collect: bool = False):
         self.schema, self.registry, self.apply_transforms, self.unroll = schema, registry or Registry.default(), apply_transforms, unroll
+        self.level, self.below, self.collect = level, below, collect
 
     # ---- parts of a node
     def _changed(self, node: dict, v: Value) -> Value:
@@ -124,7 +149,17 @@ class Compiler:
         return out
 
     def node(self, node: dict, v: Value, path: Path, refs: tuple = ()) -> Out:
-        return getattr(self, f"_{node['type']}")(node, v, path, refs)
+        if self.level >= MAX_DEPTH:
+            return self._too_deep(v, path)
+        self.level += 1
+        try:
+            return getattr(self, f"_{node['type']}")(node, v, path, refs)
+        finally:
+            self.level -= 1
+
+    @staticmethod
+    def _too_deep(v: Value, path: Path) -> Out:
+        return Out(v, [when(v.present, issue("MAX_DEPTH_EXCEEDED", "maximum validation depth exceeded", path))])
 
     @staticmethod
     def _sure(node: dict, v: Value) -> bool:
@@ -252,7 +287,7 @@ class Compiler:
             str=pick(a.str, b.str), num=pick(a.num, b.num), int=pick(a.int, b.int), bool=pick(a.bool, b.bool), null_=F.when(bad, b.null).otherwise(a.null), present_=bad | a.present,
             raw=a.raw, type=a.type, changed=True, out=F.when(bad, b.as_variant()).otherwise(a.as_variant()) if deep and (a.variant or a.type is None) else None,
         )
-        return Out(value, [replace(s, holds=~bad & s.holds) for s in inner.singles], [F.when(~bad, x).otherwise(no_issues()) for x in inner.arrays])
+        return Out(value, [replace(s, holds=~bad & s.holds) for s in inner.singles], [F.when(~bad, x).otherwise(no_issues()) for x in inner.arrays], inner.opens)
 
     def _ref(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         name, chain = node["$ref"], {node["$ref"]}
@@ -264,9 +299,26 @@ class Compiler:
             target = self.schema.resolve(target["$ref"])
         if target is None:
             return Out(v, [when(v.present, issue("REF_NOT_FOUND", f"no definition {name}", path))])
-        if refs.count(name) >= self.unroll:
-            return Out(v, [when(v.present & ~v.null, issue("MAX_DEPTH_EXCEEDED", "maximum validation depth exceeded", path))])
-        return self.node(target, v, path, (*refs, name))
+        if v.absent:
+            return Out(v)
+        if any(n == name and x is v for n, x in refs):  # the same reference to the same value never ends
+            return self._too_deep(v, path)
+        if sum(n == name for n, _ in refs) >= self.unroll and not isinstance(v.type, (T.StructType, T.MapType, T.ArrayType)):
+            return self._left_open(name, v, path)
+        return self.node(target, v, path, (*refs, (name, v)))
+
+    def _left_open(self, name: str, v: Value, path: Path) -> Out:
+        key = F.concat(F.lit(f"{name}\n{self.level}\n"), _path(path))
+        if self.collect:
+            raw = v.as_variant().cast("variant")
+            row = F.struct(key.alias("key"), F.lit(name).alias("name"), _path(path).alias("path"), F.lit(self.level).alias("level"), raw.alias("raw"))
+            return Out(v, opens=[F.when(v.present, F.array(row.cast(OPEN))).otherwise(none_open())])
+        if self.below is None:
+            return self._too_deep(v, path)
+        got = F.try_element_at(self.below, key)
+        lost = F.array(issue("MAX_DEPTH_EXCEEDED", "maximum validation depth exceeded", path)).cast(NO_ISSUES)
+        value = from_variant(F.coalesce(got["normal"], v.as_variant()))
+        return Out(replace(value, out=value.raw), [], [F.when(v.present, F.coalesce(got["issues"], lost)).otherwise(no_issues())])
 
     # ---- choices
     def _merge(self, v: Value, outs: list[tuple[Column, Value]]) -> Value:
@@ -293,22 +345,30 @@ class Compiler:
         return replace(v, str=slot("str"), num=slot("num"), int=slot("int"), bool=slot("bool"), null_=null, changed=True, out=out, members=None)
 
     def _union(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
-        live, taken, wins, arrays = v.present & ~v.null, false(), [], []
+        live, taken, wins, arrays, opens = v.present & ~v.null, false(), [], [], []
         for variant in node["oneOf"]:
             out = self.node(variant, v, path, refs)
+            opens += _gated(live, out.opens)
+            if self.collect:
+                continue
             wins.append((live & ~taken & ~out.failed(), out.value))
             arrays.append(F.when(live & ~taken & ~out.failed(), out.issues()).otherwise(no_issues()))
             taken = taken | ~out.failed()
+        if self.collect:
+            return Out(v, opens=opens)
         return Out(self._merge(v, wins), [when(live & ~taken, issue("INVALID_UNION", "no variant fits", path))], arrays)
 
     def _intersection(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
-        now, going, arrays = v, true(), []
+        now, going, arrays, opens = v, true(), [], []
         for part in node["allOf"]:
             out = self.node(part, now, path, refs)
+            opens += out.opens
+            if self.collect:
+                continue
             arrays.append(F.when(going, out.issues()).otherwise(no_issues()))
             going = going & ~out.failed()
             now = out.value
-        return Out(self._merge(v, [(going, now)]), [], arrays)
+        return Out(v, opens=opens) if self.collect else Out(self._merge(v, [(going, now)]), [], arrays)
 
     # ---- structures
     def member_issues(self, node: dict, child: dict, key: str, v: Value, path: Path, refs: tuple, inside: Column) -> Out:
@@ -329,12 +389,13 @@ class Compiler:
     def _object(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         inside = v.is_obj if v.members is None else true()
         wrong = when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected object", path))
-        singles, arrays, members = [wrong], [], {}
+        singles, arrays, members, opens = [wrong], [], {}, []
         for key, child in node["properties"].items():
             got = v.member(key)
             out = self.member_issues(node, child, key, got, path, refs, inside)
             singles += out.singles
             arrays += out.arrays
+            opens += out.opens
             members[key] = out.value
         mode = node.get("unknown_keys") or ("passthrough" if node.get("additional_properties") is True else "strict")
         catchall = node.get("catchall")
@@ -349,6 +410,8 @@ class Compiler:
                 each = lambda k, x: self.node(catchall, from_typed(x, kind), _join(path, k), refs)
                 listed = F.flatten(F.transform(F.map_entries(unknown), lambda e: each(e["key"], e["value"]).issues()))
                 arrays.append(F.when(inside, listed).otherwise(no_issues()))
+                if self.collect:
+                    opens += _gated(inside, [F.flatten(F.transform(F.map_entries(unknown), lambda e: each(e["key"], e["value"]).opened()))])
                 if v.variant:
                     rest = F.transform_values(unknown, lambda k, x: each(k, x).value.as_variant())
             elif mode == "strict":
@@ -362,7 +425,7 @@ class Compiler:
                 got = v.member(key)
                 if catchall is not None:
                     out = self.node(catchall, got, _join(path, key), refs).when(inside & got.present)
-                    singles, arrays = singles + out.singles, arrays + out.arrays
+                    singles, arrays, opens = singles + out.singles, arrays + out.arrays, opens + out.opens
                     members[key] = out.value
                 elif mode == "strict":
                     singles.append(when(inside & got.present, issue("ADDITIONAL_PROPERTY_NOT_ALLOWED", f"unexpected property {key}", _join(path, key))))
@@ -380,7 +443,7 @@ class Compiler:
             out = F.when(inside, F.struct(*fields)) if fields else v.raw
         value = replace(v, out=out, changed=True, members=dict(members), rest=None if rest is None else (rest, kind))
         singles += self._constraints(node.get("rules"), value, path, inside)
-        return Out(value, singles, arrays)
+        return Out(value, singles, arrays, opens)
 
     def _array(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         inside = v.is_arr
@@ -403,11 +466,12 @@ class Compiler:
             out = F.transform(arr, lambda x, i: each(x, i).value.as_typed(ir.value_kind(node["items"])))
         value = replace(v, out=out, changed=True)
         singles += self._constraints(node.get("constraints"), value, path, inside)
-        return Out(value, singles, arrays)
+        opens = _gated(inside, [F.flatten(F.transform(arr, lambda x, i: each(x, i).opened()))]) if self.collect else []
+        return Out(value, singles, arrays, opens)
 
     def _tuple(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         inside, parts = v.is_arr, node["items"]
-        singles, arrays = [when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected tuple", path))], []
+        singles, arrays, opens = [when(v.present & ~v.null & ~inside, issue("TYPE_ERROR", "expected tuple", path))], [], []
         found = v.elements()
         if found is None:
             return Out(v, singles)
@@ -416,13 +480,13 @@ class Compiler:
         outs = [self.node(part, from_typed(F.get(arr, k), kind), _join(path, str(k)), refs) for k, part in enumerate(parts)]
         for k, out in enumerate(outs):
             gated = out.when(inside & (F.size(arr) > k))
-            singles, arrays = singles + gated.singles, arrays + gated.arrays
+            singles, arrays, opens = singles + gated.singles, arrays + gated.arrays, opens + gated.opens
         made = None
         if v.variant:
             done = [F.when(F.size(arr) > k, F.coalesce(o.value.as_variant(), variant_null())) for k, o in enumerate(outs)]
             rest = F.slice(arr, len(parts) + 1, F.greatest(F.lit(0), F.size(arr)))
             made = F.when(inside, F.to_variant_object(F.concat(F.filter(F.array(*done), lambda x: x.isNotNull()), rest))).otherwise(v.raw) if done else None
-        return Out(replace(v, out=made, changed=made is not None), singles, arrays)
+        return Out(replace(v, out=made, changed=made is not None), singles, arrays, opens)
 
     def _record(self, node: dict, v: Value, path: Path, refs: tuple) -> Out:
         inside = v.is_obj
@@ -446,7 +510,9 @@ class Compiler:
             out = F.when(inside, F.to_variant_object(F.transform_values(entries, lambda k, x: F.coalesce(normal(k, x).as_variant(), variant_null())))).otherwise(v.raw)
         else:
             out = F.transform_values(entries, lambda k, x: normal(k, x).as_typed(ir.value_kind(node["value"])))
-        return Out(replace(v, out=out, changed=True), singles, arrays)
+        deeper = lambda e: self.node(node["value"], from_typed(e["value"], kind), _join(path, e["key"]), refs).opened()
+        opens = _gated(inside, [F.flatten(F.transform(F.map_entries(entries), deeper))]) if self.collect else []
+        return Out(replace(v, out=out, changed=True), singles, arrays, opens)
 
 
 __all__ = ["Compiler", "ISSUE", "Out", "Single", "issue", "missing", "no_issues"]

@@ -225,6 +225,44 @@ def allows_null(schema: Schema, node: dict, seen: tuple = ()) -> bool:
     return False
 
 
+def _refs(x: Any) -> list[str]:
+    """The definitions that a node refers to, once for each place."""
+    if isinstance(x, list):
+        return [r for y in x for r in _refs(y)]
+    if not isinstance(x, dict):
+        return []
+    own = [x["$ref"].removeprefix("#/definitions/")] if x.get("type") == "ref" else []
+    return own + [r for y in x.values() for r in _refs(y)]
+
+
+def recursive(schema: Schema) -> set[str]:
+    """The definitions that refer to themselves, if by way of others."""
+    to, found = {name: _refs(node) for name, node in schema.definitions.items()}, set()
+    for name in to:
+        seen, todo = set(), list(to[name])
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += to.get(at, ())
+        found |= {name} & seen
+    return found
+
+
+def unrolls(schema: Schema) -> int:
+    """How often a reference is worth opening inside itself: a choice, an intersection or a second reference multiplies
+    the expression at each level, a single reference adds to it."""
+    names = recursive(schema)
+
+    def branches(x: Any) -> bool:
+        if isinstance(x, list):
+            return any(map(branches, x))
+        return isinstance(x, dict) and (x.get("type") in ("union", "intersection", "catch") or any(map(branches, x.values())))
+
+    simple = all(sum(r in names for r in _refs(schema.definitions[n])) <= 1 and not branches(schema.definitions[n]) for n in names)
+    return 4 if simple else 1
+
+
 def required(node: dict) -> bool:
     return node.get("required", True) is not False
 

@@ -25,17 +25,26 @@ def parse(pointer: str) -> list[str]:
 
 @dataclass
 class Matches:
-    """What a pointer resolves to: how many values, a test of all of them, and a test of the first."""
+    """What a pointer resolves to: how many values, a test of all of them, a test of the first, and a text of each, in order."""
 
     count: Column
     all: Callable[[Callable[[Value], Column]], Column]
     first: Callable[[Callable[[Value], Column]], Column]
+    each: Callable[[Callable[[Value], Column]], Column]
     single: Value | None = None
 
 
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _one(v: Value) -> Matches:
     there = v.present
-    return Matches(F.when(there, 1).otherwise(0), lambda f: ~there | f(v), lambda f: F.when(there, f(v)), v)
+    return Matches(F.when(there, 1).otherwise(0), lambda f: ~there | f(v), lambda f: F.when(there, f(v)), lambda f: F.when(there, F.array(f(v))).otherwise(_no_texts()), v)
+
+
+def _none() -> Matches:
+    return Matches(F.lit(0), lambda f: F.lit(True), lambda f: F.lit(None), lambda f: _no_texts())
 
 
 def element(v: Value, k: int) -> Value | None:
@@ -56,14 +65,14 @@ def resolve(v: Value, parts: list[str]) -> Matches:
     if head == "*":
         found = v.elements()
         if found is None:
-            return Matches(F.lit(0), lambda f: F.lit(True), lambda f: F.lit(None))
+            return _none()
         arr, kind = found
         inner = lambda x: resolve(from_typed(x, kind), rest)
         counts = F.aggregate(F.coalesce(F.transform(arr, lambda x: inner(x).count), F.array().cast("array<int>")), F.lit(0), lambda a, c: a + c)
-        return Matches(F.when(v.is_arr, counts).otherwise(0), lambda f: F.coalesce(F.forall(arr, lambda x: inner(x).all(f)), F.lit(True)), lambda f: F.get(F.filter(F.transform(arr, lambda x: inner(x).first(f)), lambda x: x.isNotNull()), 0))
+        return Matches(F.when(v.is_arr, counts).otherwise(0), lambda f: F.coalesce(F.forall(arr, lambda x: inner(x).all(f)), F.lit(True)), lambda f: F.get(F.filter(F.transform(arr, lambda x: inner(x).first(f)), lambda x: x.isNotNull()), 0), lambda f: F.when(v.is_arr, F.flatten(F.transform(arr, lambda x: inner(x).each(f)))).otherwise(_no_texts()))
     if head.isdigit():  # a numeric part is an index, never a key
         at = element(v, int(head))
-        return resolve(at, rest) if at is not None else Matches(F.lit(0), lambda f: F.lit(True), lambda f: F.lit(None))
+        return resolve(at, rest) if at is not None else _none()
     return resolve(v.member(head), rest)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import pointer
 from .registry import Registry
-from .values import Value, equals, false, same, true
+from .values import as_key, Value, equals, false, same, true
 
 #: Characters that each kind of template segment takes; fixed values.
 SEGMENTS = {"digits": "[0-9]", "ascii_letters": "[A-Za-z]", "ascii_alphanumeric": "[A-Za-z0-9]", "uppercase": "[A-Z]", "lowercase": "[a-z]", "hex": "[0-9A-Fa-f]"}
@@ -113,7 +113,8 @@ def compile_predicate(pred: dict, v: Value, registry: Registry, apply: bool = Tr
     if kind == "eq_fields":
         left, right = pointer.lookup(v, pred["left"]), pointer.lookup(v, pred["right"])
         if left.single is None or right.single is None:
-            raise ValueError("eq_fields over several matches is not supported")
+            a, b = left.each(as_key), right.each(as_key)  # match by match, as many on both sides
+            return _two((F.size(a) > 0) & (a == b))
         return (left.count > 0) & (right.count > 0) & same(left.single, right.single)
     if kind in ("gt_field", "gte_field", "lt_field", "lte_field"):
         left, right = number_at(v, pred["left"]), number_at(v, pred["right"])

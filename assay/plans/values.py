@@ -39,6 +39,7 @@ class Value:
     out: Column | None = field(default=None)  # the normalized column, where a validator has made one
     staged: dict | None = None  # members of a variant object that have been put into columns already
     rest: tuple[Column, T.DataType] | None = None  # of an object that has been rebuilt, a map of the unknown keys that it keeps
+    absent: bool = False  # no row has it
 
     # ---- kinds
     @property
@@ -175,7 +176,7 @@ def variant_null() -> Column:
 
 
 def missing() -> Value:
-    return Value(present_=false(), null_=false(), raw=F.lit(None).cast("variant"), type=T.VariantType())
+    return Value(present_=false(), null_=false(), raw=F.lit(None).cast("variant"), type=T.VariantType(), absent=True)
 
 
 def variant_member(raw: Column, key: str) -> Column:
@@ -292,3 +293,12 @@ def same(a: Value, b: Value) -> Column:
     for w in ways[1:]:
         out = out | w
     return out
+
+
+def as_key(v: Value) -> Column:
+    """A text that two values share if and only if they are the ``same``."""
+    ways = [F.when(v.null, F.lit("null"))]
+    ways += [F.concat(F.lit(mark), x.cast("string")) for mark, x in (("s", v.str), ("n", None if v.num is None else v.num.cast("double") + F.lit(0.0)), ("b", v.bool)) if x is not None]
+    if v.raw is not None and (v.variant or isinstance(v.type, (T.ArrayType, T.StructType, T.MapType))):
+        ways.append(F.when(v.is_arr | v.is_obj, F.concat(F.lit("j"), F.to_json(v.raw))))
+    return F.coalesce(*ways, F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.operators.validation import validate, validate_documents
@@ -16,8 +16,8 @@ class ImportRuleError(ValueError):
 
 
 def infer_cell(s: Column) -> Column:
-    """A cell as a variant: whole number, else number, else text; blank cells are missing."""
-    whole = F.when(s.rlike(r"\A[+-]?[0-9]{1,18}\z"), s.try_cast("long"))
+    """A cell as a variant: whole number of 64 bits, else number, else text; blank cells are missing."""
+    whole = F.when(s.rlike(r"\A[+-]?[0-9]+\z"), s.try_cast("long"))
     number = F.when(s.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), s.try_cast("double"))
     return F.when(F.trim(s) != "", F.coalesce(whole.cast("variant"), number.cast("variant"), s.cast("variant")))
 
@@ -40,7 +40,17 @@ def read_csv(spark: SparkSession, path: str, schema: Any, columns: dict[str, str
         raise ImportRuleError(f"more than {max_rows} rows")
     pairs = [x for c in raw.columns for x in (F.lit(columns.get(c, c)), infer_cell(F.col(f"`{c}`")))]
     document = F.to_variant_object(F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()))
-    return raw.select(F.monotonically_increasing_id().alias("row"), document.alias("document"))
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    return _numbered(raw.select(*split, F.monotonically_increasing_id().alias("id"), document.alias("document"))).select("row", "document")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of files (file, start, id) numbered from 0 in the order of files and lines. A split's rows have successive
+    ids; the splits, one narrow row each, are counted and put in order."""
+    splits = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(splits, ["file", "start"]).withColumn("row", F.col("before") + F.col("id") - F.col("first"))
 
 
 def import_csv(spark: SparkSession, path: str, schema: Any, **options: Any) -> DataFrame:
@@ -68,10 +78,20 @@ def write_split(validated: DataFrame, valid_path: str, invalid_path: str) -> Non
 
 
 def bulk(df: DataFrame, schema: Any, most: int = 1000) -> DataFrame:
-    """A request's rows validated in their order (``_row_index``); more than ``most`` rows raise, as a request's size is the caller's contract."""
+    """A request's rows validated, numbered by their place in it (``_row_index``, from 0); more than ``most`` rows raise, as a
+    request's size is the caller's contract, and with it the one task that numbers them is bounded."""
     if df.limit(most + 1).count() > most:
         raise ImportRuleError(f"more than {most} rows in one request")
-    return validate(df.withColumn("_row_index", F.monotonically_increasing_id()), _with_index(schema))
+    placed = df.withColumn("_row_index", F.monotonically_increasing_id())
+    placed = placed.withColumn("_row_index", F.row_number().over(Window.orderBy("_row_index")).cast("long") - 1)
+    return validate(placed, _with_index(schema))
+
+
+def bulk_split(df: DataFrame, schema: Any, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """A request's accepted rows, normalized, and its rejected ones with their errors; both by ``_row_index``."""
+    done = bulk(df, schema, most)
+    accepted = done.filter("valid").drop("valid", "errors", "warnings")
+    return accepted, done.filter("not valid").select("_row_index", "errors")
 
 
 def _with_index(schema: Any) -> ir.Schema:
