@@ -2,56 +2,60 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.operators.scratch import folder
+
 #: The blanks of the corpus contracts: space, and tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only when it is counted to have at most this many rows of a few longs.
 BROADCAST_ROWS = 200_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="assay-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/assay/{uuid.uuid4().hex}"
+_OPEN: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
 class Scope:
-    """Collects the scratch tables that are written while it is open, so that they can be deleted once a later table replaces them."""
-
-    open_: "Scope | None" = None
+    """Collects the scratch tables that are written while it is open, by this thread, so that they can be deleted once a later
+    table replaces them. Scopes nest: what an inner one has not deleted goes to the outer one when it closes."""
 
     def __init__(self) -> None:
         self.paths: list[str] = []
 
-    def __enter__(self) -> "Scope":
-        self.outer, Scope.open_ = Scope.open_, self
+    def __enter__(self) -> Scope:
+        self.token = _OPEN.set(self)
         return self
 
     def __exit__(self, *_: object) -> None:
-        Scope.open_ = self.outer
+        _OPEN.reset(self.token)
+        if (outer := _OPEN.get()) is not None:
+            outer.paths += self.paths
 
-    def delete(self, spark: SparkSession) -> None:
-        """Delete the tables; only when nothing unwritten reads them any more."""
+    def delete(self, spark: SparkSession, but: tuple[DataFrame, ...] = ()) -> None:
+        """Delete the tables, except those that ``but`` reads; only when nothing else unwritten reads them any more."""
+        read = {place(f) for frame in but for f in frame.inputFiles()}
         hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(hadoop).delete(place, True)
-        self.paths = []
+            if place(path) not in read:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(hadoop).delete(where, True)
+        self.paths = [x for x in self.paths if place(x) in read]
+
+
+def place(path: str) -> str:
+    """What tells a scratch table, or a file of it, from others: the name of its folder."""
+    return re.search(r"/assay/([0-9a-f]{32})", path)[1] if "/assay/" in path else path
 
 
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back; a lost executor then costs no recomputation."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    if Scope.open_ is not None:
-        Scope.open_.paths.append(path)
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    if (scope := _OPEN.get()) is not None:
+        scope.paths.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
