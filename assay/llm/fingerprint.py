@@ -24,8 +24,8 @@ WORDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
-    """The bottom-k sketch of a text, an ascending array of distinct longs."""
+def shingle_hashes(text: Column, words: int = WORDS) -> Column:
+    """The hashes of a text's shingles, repeats included, as an array of longs."""
     plain = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), BLANKS, " "))
     hashed = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
 
@@ -34,8 +34,12 @@ def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
 
     # the word hashes are bound once by a one-element transform, so that the shingles index them and do not make them again
     all_ = F.get(F.transform(F.array(hashed), lambda of: F.when(F.size(of) >= words, shingles(of)).otherwise(F.array(F.xxhash64(F.array_join(F.transform(of, lambda x: x.cast("string")), " "))))), F.lit(0))
-    least = F.slice(F.sort_array(F.array_distinct(all_)), 1, k)
-    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(least)
+    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(all_)
+
+
+def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
+    """The bottom-k sketch of a text, an ascending array of distinct longs."""
+    return F.slice(F.sort_array(F.array_distinct(shingle_hashes(text, words))), 1, k)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:

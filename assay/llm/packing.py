@@ -10,7 +10,10 @@ Every task packs its own rows with bounded state, so nothing is shuffled and a l
 carries its partition's number, so ids are unique. At most a few short sequences are left over in each task.
 
 Nulls: a null text is empty; an empty text has the closing id alone. A null or repeated doc_id is carried along as it
-is. Null token counts are 0. An empty table gives an empty result. Other columns are not read.
+is. Null counts are 0. Ties go to the example that came first, and repeated rows are examples of their own. Every example is returned:
+one without tokens, and one above a limit that may not be cut, as a piece that is in no sequence (sequence_id and
+offset null). A very long text is cut into sequences as it is read, and only its last piece waits. An empty table gives an empty
+result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,8 +59,6 @@ class Packer:
             tokens -= start
             if not tokens:
                 return
-        if tokens > self.limits[0] or loss > self.limits[2]:
-            raise ValueError(f"an example of {tokens} tokens, {loss} with loss, exceeds a sequence; allow cutting")
         if self.n == self.window:
             while self.n > self.window // 2:
                 self.fill()
@@ -127,9 +128,11 @@ def _ids() -> Iterator[int]:
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, cut: bool = False) -> DataFrame:
-    """Place examples by their counts alone. Gives id, start, length, sequence_id, offset."""
-    schema = examples.select(F.col(f"`{id_col}`").alias("id")).withColumns({k: F.lit(0).cast("long") for k in ("start", "length", "sequence_id", "offset")}).schema
-    names = schema.names
+    """Place examples by their counts alone. Gives id, start, length, sequence_id, offset; the last two are null for an example without
+    tokens, and without ``cut`` for one above a limit."""
+    kind = examples.schema[id_col].dataType.simpleString()
+    names = ["id", "start", "length", "sequence_id", "offset"]
+    schema = f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, ids, kind = [], _ids(), None
@@ -144,8 +147,10 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
         for batch in batches:
             kind = batch.schema.field(0).type
             for key, tokens, loss in zip(*(x.to_pylist() for x in batch.columns)):
-                if tokens:
-                    packer.add(key, tokens, loss)
+                if tokens > 0 and (cut or tokens <= max_tokens and loss <= max_loss):
+                    packer.add(key, tokens, max(0, loss))
+                else:
+                    rows.append((key, 0, max(0, tokens), None, None))
             if rows:
                 yield _batch(rows, names, kind)
                 rows = []
@@ -173,8 +178,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
         def emit(pieces: list) -> None:
             number, offset = next(ids), 0
-            for (doc, raw), start, length in pieces:
-                rows.append((doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(raw) // 4, number, offset))
+            for (doc, raw, before), start, length in pieces:
+                rows.append((doc, before + start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), before + len(raw) // 4, number, offset))
                 offset += length
 
         packer = Packer((max_tokens, max_segments, max_tokens), emit, cut=True)
@@ -182,7 +187,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             key_kind = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = tokens.encode(text.as_py()) + end
-                packer.add((doc, raw), len(raw) // 4, len(raw) // 4)
+                total, whole = len(raw) // 4, len(raw) // 4 // max_tokens * max_tokens
+                for start in range(0, whole, max_tokens):
+                    part = raw[4 * start : 4 * (start + max_tokens)]
+                    rows.append((doc, start, max_tokens, zlib.crc32(part), total, next(ids), 0))
+                if total > whole:
+                    packer.add((doc, raw[4 * whole :], whole), total - whole, total - whole)
                 if len(rows) >= 20_000:
                     yield _batch(rows, names, key_kind)
                     rows = []

@@ -8,7 +8,7 @@ import numpy as np
 import regex
 
 #: Entries a worker keeps of each cache before it starts afresh; bounds memory, changes no result.
-CACHED = 400_000
+CACHED = 150_000
 #: A chunk that the tokenizer certainly cuts into one run of letters and one of signs: no digits, apostrophes or blanks.
 _PLAIN = regex.compile(r"(\p{L}*)([^\s\p{L}\p{N}'<]*)")
 

@@ -84,3 +84,19 @@ def test_examples_keep_all_three_limits(spark):
     assert all(len(x) <= 6 and sum(r[1] for r in x) <= 2048 and sum(r[2] for r in x) <= 1024 for x in by.values())
     least = max(sum(r[1] for r in rows) / 2048, sum(r[2] for r in rows) / 1024, len(rows) / 6)
     assert len(by) <= 1.25 * least + 1
+
+
+def test_examples_of_every_kind_come_back(spark):
+    rows = [(1, 10, 5), (1, 10, 5), (2, 0, 0), (3, None, None), (None, 7, None), (4, 5000, 10), (5, 30, 99), (6, 2048, 20)]
+    kind = "id long, t long, l long, start string, offset int, sequence_id string"
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], kind)
+    out = packing.pack_examples(df, "id", "t", "l", max_loss=64).collect()
+    placed = [p for p in out if p.sequence_id is not None]
+    assert sorted((p.id or 0, p.length) for p in placed) == [(0, 7), (1, 10), (1, 10), (6, 2048)] and len(out) == len(rows)
+    assert sorted((p.id, p.length, p.offset) for p in out if p.sequence_id is None) == [(2, 0, None), (3, 0, None), (4, 5000, None), (5, 30, None)]
+    cut = packing.pack_examples(df, "id", "t", "l", max_loss=64, cut=True).collect()
+    total = {}
+    for p in cut:
+        total[p.id] = total.get(p.id, 0) + p.length
+    assert total == {1: 20, 2: 0, 3: 0, None: 7, 4: 5000, 5: 30, 6: 2048}
+    assert packing.pack_examples(df.limit(0), "id", "t", "l").collect() == []

@@ -28,15 +28,10 @@ def test_stages_against_brute_force(spark, tmp_path):
         low[norm(r["text"])] = min(low.get(norm(r["text"]), 1 << 62), r["doc_id"])
     assert {r["doc_id"] for r in exact} == set(low.values()) and len(exact) == len(low)
 
-    from test_simhash import slow_components, slow_print
+    from test_near_dedup import slow_kept
 
-    prints = {}
-    for r in exact:
-        prints.setdefault(slow_print(r["text"]), []).append(r["doc_id"])
-    comps, head = slow_components(prints), {}
-    for p, c in comps.items():
-        head[c] = min([head.get(c, 1 << 62), *prints[p]])
-    assert {r["doc_id"] for r in near} == set(head.values()) and len(near) == len(head)
+    stay = slow_kept([(r["doc_id"], r["text"]) for r in exact])
+    assert {r["doc_id"] for r in near} == stay and len(near) == len(stay) < len(exact)
 
     words = lambda t: len((t or "").encode().split())
     size, taken = {}, {}
@@ -92,3 +87,34 @@ def test_each_stage_takes_hard_rows_by_itself(spark, frame, data):
 
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(HARD), data).count() > 0
+
+
+def test_stages_compose_without_writing_in_between(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, data)
+    assert docs.count() == corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_two_pipelines_at_once(spark, data):
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = lambda _: sorted(map(tuple, corpus_pipeline.run(spark, data).select("doc_id", "start", "length", "ids_crc32").collect()), key=repr)
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(rows, range(2))
+    total = lambda got: sum(r[2] for r in got)
+    assert total(a) == total(b) > 0
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, data, tmp_path):
+    import os
+    import urllib.parse
+
+    from assay.operators.scratch import folder
+
+    base = os.path.dirname(urllib.parse.urlparse(folder(spark)).path)
+    before = set(os.listdir(base)) if os.path.exists(base) else set()
+    out = corpus_pipeline.run(spark, data)
+    left = set(os.listdir(base)) - before
+    read = {f.split("/assay/")[1].split("/")[0] for f in out.inputFiles()}
+    assert left == read
