@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, sized, text_of, with_row_id
+from .common import BLANKS, Scope, materialize, sized, text_of, with_row_id
 
 FIRST_DIGIT = 64
 GROWTH = 8
@@ -80,6 +80,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = _rows(docs, docs.columns)
-    gone = materialize(_classes(kept, id_col, text_col, first_digit, growth).filter("rid <> keep_rid").select("rid"))
+    with Scope() as scope:
+        kept = _rows(docs, docs.columns)
+        gone = materialize(_classes(kept, id_col, text_col, first_digit, growth).filter("rid <> keep_rid").select("rid"))
+        scope.delete(docs.sparkSession, but=(docs, kept, gone))
     return kept.join(sized(gone), "rid", "left_anti").select("row.*")
