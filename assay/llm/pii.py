@@ -1,15 +1,17 @@
 """Personal data in texts: exact patterns, and a linear-chain conditional random field for what patterns miss.
 
-The patterns give email, ip, card and phone spans. The random field labels the tokens (runs of letters and digits, single signs)
-of every stretch of text within ``AROUND`` characters of a digit, of a cue word for secrets or of a long run of letters in mixed or upper
-case, from word-shape features of a token and its neighbours and a few cue
-words. It is trained by maximum likelihood from a small labelled table (``labelled_table``, or one given) and decoded by Viterbi over
-padded numpy batches of sequences. Its phone, secret and ssn spans that touch no pattern's span are added; pattern spans always stay.
-A secret may have no digit at all. Stretches without any of these marks are not decoded.
+The patterns give email, ip, card and phone spans. The random field labels every token (runs of letters and digits, single signs)
+of the whole text from word-shape features of the token and its neighbours and a few cue words before it. It is trained by maximum likelihood
+from a small labelled table (``labelled_table``, or one given) and decoded by Viterbi over numpy batches of texts. Its
+phone, secret and ssn spans that touch no pattern's span are added; pattern spans always stay.
+
+A token's shape and cue are looked up once a worker; feature weights are folded into tables by pairs of neighbouring shapes, so that a text's
+scores are four lookups a token. Batches are bounded by cells (texts times the longest), the scores of a batch are made a block
+of steps at a time, and a long text is a batch of its own that holds its back-pointers alone, 7 bytes a token.
 
 All positions are code points, ends exclusive. Every scan is linear in the text, also for very long runs without blanks. Null and empty
-texts have no spans (empty strings, zero counts). Null and repeated doc_ids and repeated rows each get their own row. An empty table gives
-an empty result. Only id and text are read, so extra columns never clash.
+texts have no spans (empty strings, zero counts). Null and repeated doc_ids and repeated rows each get their own row; ties between labels go
+to the first. An empty table gives an empty result. Only id and text are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,6 @@ from .common import text_of
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 ADDED = ("phone", "secret", "ssn")
-AROUND = 48
 LABELS = ("O", *KINDS)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,8 +38,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-#: What a stretch is decoded around: digits, cue words for secrets, runs of letters that may be a secret by themselves.
-_MARK = re.compile(r"[0-9]+|(?<![^\W_])(?i:token|key|secret|password|passwd|pwd|api|auth|bearer)(?![^\W_])|(?<![^\W_])(?=[A-Za-z]*[A-Z])[A-Za-z]{12,}+")
+#: Steps times texts of a batch whose labels, and of a block whose scores, are held at once.
+CELLS, BLOCK = 1 << 20, 1 << 18
+#: Tokens that a worker remembers, of up to so many characters, before it starts afresh; changes no result.
+CACHED, SHORT = 200_000, 48
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -196,12 +199,23 @@ def _value(kind: str, rng: random.Random) -> str:
     return {"small": str(rng.randrange(1, 60)), "two": digits(2), "year": f"{rng.choice((19, 20))}{digits(2)}", "number": str(rng.randrange(100, 99999)), "word": letters(low, 7), "mixed": letters(low, 2).upper() + digits(3)}[kind]
 
 
+def _plain(rng: random.Random) -> str:
+    """Some plain words of all lengths and cases and common signs, as text stands around a value."""
+    out = []
+    for _ in range(rng.randrange(7)):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(min(26, 1 + int(rng.expovariate(0.2)))))
+        out.append(rng.choice((word, word, word, word.title(), word.upper(), word + rng.choice(".,;:!?"), f'"{word}"', f"({word})", f"{word}-{word[:4]}", f"{word}'s", str(rng.randrange(3000)))))
+    return " ".join(out)
+
+
 def labelled_table(repeats: int = 12, seed: int = 11) -> list[tuple[int, str, str]]:
-    """A small table of (sentence, token, label), made from the sentence patterns."""
+    """A small table of (sentence, token, label), made from the sentence patterns among plain words."""
     rng, rows, number = random.Random(seed), [], 0
     as_label = {"local": "phone", "key": "secret", "letters": "secret", "phrase": "secret"}
     for _ in range(repeats):
-        for pattern in SENTENCES:
+        for pattern in (*SENTENCES, "", "", "", ""):
+            if rng.random() < 0.7:
+                pattern = f"{_plain(rng)} {pattern} {_plain(rng)}"
             for part in re.split(r"(\{\w+\})", pattern):
                 kind = part[1:-1] if part.startswith("{") else ""
                 label = as_label.get(kind, kind) if as_label.get(kind, kind) in LABELS else "O"
@@ -214,12 +228,31 @@ def labelled_table(repeats: int = 12, seed: int = 11) -> list[tuple[int, str, st
 
 
 class Field:
-    """Weights of a linear-chain conditional random field."""
+    """Weights of a linear-chain conditional random field, by feature name and folded by shape: row 0 of a table is any
+    shape that training has not met, row 1 the text's edge."""
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
+        known = sorted({n[1:] for n in names if n[0] == "0"})
+        self.shapes = {"#": 1} | {x: k + 2 for k, x in enumerate(known)}
+        self.cues = {c: k + 1 for k, c in enumerate(sorted(_CUES))}
+        none = np.zeros(len(LABELS))
+        weight = lambda f: emit[names[f]] if f in names else none
+        n = len(self.shapes) + 1
+        self.here, self.next, self.before, self.after = (np.zeros((n, n, len(LABELS))) for _ in range(4))
+        for x, i in self.shapes.items():
+            self.here[:, i] += weight("0" + x)
+            self.here[i] += weight("-" + x)
+            self.next[:, i] += weight("+" + x)
+            for y, j in self.shapes.items():
+                self.here[i, j] += weight(f"={x}|{y}")
+                self.next[i, j] += weight(f"~{x}|{y}")
+                self.before[i, j] = weight(f"<{x}|{y}")
+                self.after[i, j] = weight(f">{x}|{y}")
+        self.cue = np.array([none] + [weight("c" + c) for c in self.cues])
 
     def scores(self, tokens: list[str]) -> np.ndarray:
+        """Each token's scores by label, feature by feature; what ``labels`` reads from the tables."""
         out = np.zeros((len(tokens), self.move.shape[0]))
         for k, row in enumerate(features(tokens)):
             for f in row:
@@ -228,38 +261,79 @@ class Field:
                     out[k] += self.emit[i]
         return out
 
-    def decode(self, sequences: list[np.ndarray], batch: int = 256) -> list[np.ndarray]:
-        """The best labels of each sequence of token scores, many sequences at a time, padded to the longest of a batch."""
-        out: list = [None] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
-        for a in range(0, len(order), batch):
-            some = [k for k in order[a : a + batch] if len(sequences[k])]
-            for k in order[a : a + batch]:
-                out[k] = np.zeros(len(sequences[k]), np.int64)
-            if not some:
-                continue
-            n, longest, labels = len(some), len(sequences[some[-1]]), self.move.shape[0]
-            lengths = np.array([len(sequences[k]) for k in some])
-            padded = np.zeros((n, longest, labels))
-            for row, k in enumerate(some):
-                padded[row, : len(sequences[k])] = sequences[k]
-            best, back = padded[:, 0].copy(), np.zeros((longest, n, labels), np.int8)
-            for t in range(1, longest):
-                ways = best[:, :, None] + self.move[None]
-                back[t] = ways.argmax(1)
-                now = np.take_along_axis(ways, back[t][:, None, :].astype(np.int64), 1)[:, 0] + padded[:, t]
-                best = np.where((t < lengths)[:, None], now, best)
-            label = best.argmax(1)
-            path = np.zeros((n, longest), np.int64)
-            for t in range(longest - 1, -1, -1):
-                live = t < lengths
-                path[live, t] = label[live]
-                if t:
-                    label = np.where(live, back[t][np.arange(n), label], label)
-            for row, k in enumerate(some):
-                out[k] = path[row, : lengths[row]]
+    def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """The best labels of each sequence of token scores."""
+
+        def scored(rows: list[int], longest: int) -> Callable[[int, int], np.ndarray]:
+            padded = np.zeros((len(rows), longest, self.move.shape[0]))
+            for r, k in enumerate(rows):
+                padded[r, : len(sequences[k])] = sequences[k]
+            return lambda a, b: padded[:, a:b]
+
+        return self._batched([len(x) for x in sequences], scored)
+
+    def labels(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """The best labels of each sequence of tokens, each given as 64 times its shape's number plus its cue's."""
+
+        def scored(rows: list[int], longest: int) -> Callable[[int, int], np.ndarray]:
+            shape = np.ones((len(rows), longest + 4), np.int32)
+            owner, at, cue = [], [], []
+            for r, k in enumerate(rows):
+                shape[r, 2 : 2 + len(sequences[k])] = sequences[k] >> 6
+                for t in np.flatnonzero(sequences[k] & 63).tolist():
+                    owner += [r] * 4
+                    at += range(t + 1, t + 5)
+                    cue += [int(sequences[k][t] & 63)] * 4
+            near = np.unique(np.array([at, owner, cue], np.int64).reshape(3, -1), axis=1)
+
+            def part(a: int, b: int) -> np.ndarray:
+                w = [shape[:, a + d : b + d] for d in range(5)]  # from two before to two after
+                out = self.here[w[1], w[2]] + self.next[w[2], w[3]] + self.before[w[0], w[1]] + self.after[w[3], w[4]]
+                lo, hi = np.searchsorted(near[0], (a, b))
+                np.add.at(out, (near[1, lo:hi], near[0, lo:hi] - a), self.cue[near[2, lo:hi]])
+                return out
+
+            return part
+
+        return self._batched([len(x) for x in sequences], scored)
+
+    def _batched(self, lengths: list[int], scored: Callable) -> list[np.ndarray]:
+        out = [np.zeros(0, np.int8)] * len(lengths)
+        order = sorted((k for k, n in enumerate(lengths) if n), key=lambda k: -lengths[k])
+        while order:
+            longest = lengths[order[0]]
+            rows, order = order[: max(1, CELLS // longest)], order[max(1, CELLS // longest) :]
+            paths = self._viterbi(np.array([lengths[k] for k in rows]), scored(rows, longest))
+            for r, k in enumerate(rows):
+                out[k] = paths[: lengths[k], r].copy()
         return out
 
+    def _viterbi(self, lengths: np.ndarray, scored: Callable[[int, int], np.ndarray]) -> np.ndarray:
+        """The best labels, (step, sequence), of sequences from the longest to the shortest; ``scored(a, b)`` has steps a to b."""
+        n, longest = len(lengths), int(lengths[0])
+        live = np.searchsorted(-lengths, -np.arange(longest), "left")  # sequences longer than t
+        back, block = np.zeros((longest, n, self.move.shape[0]), np.int8), max(1, BLOCK // n)
+        to, every = np.ascontiguousarray(self.move.T)[None], np.arange(n)
+        best = None
+        for a in range(0, longest, block):
+            part = scored(a, min(longest, a + block))
+            for t in range(a, min(longest, a + block)):
+                if best is None:
+                    best = part[:, 0].copy()
+                    continue
+                m = live[t]
+                ways = best[:m, None, :] + to
+                ways.argmax(2, out=(step := np.empty((m, len(LABELS)), np.int64)))
+                back[t, :m] = step
+                best[:m] = np.take_along_axis(ways, step[:, :, None], 2)[:, :, 0] + part[:m, t - a]
+        label, path = best.argmax(1), np.zeros((longest, n), np.int8)
+        for t in range(longest - 1, -1, -1):
+            m = live[t]
+            path[t, :m] = label[:m]
+            if t:
+                label[:m] = back[t, every[:m], label[:m]]
+        return path
+
 
 def train(rows: list[tuple[int, str, str]], steps: int = 120, rate: float = 0.5, pull: float = 1e-3) -> Field:
     """Maximum likelihood by gradient ascent with forward-backward over all sentences at once. rows: (sentence, token, label) in order."""
@@ -317,48 +391,53 @@ def train(rows: list[tuple[int, str, str]], steps: int = 120, rate: float = 0.5,
 # ---------------------------------------------------------------- scanning
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text near digits, cue words and long words with capitals, cut at blanks where there are any."""
-    out: list[list[int]] = []
-    for m in _MARK.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    cut = []
-    for a, b in out:
-        if a and (x := re.search(r"\s", text[a : a + AROUND])):
-            a += x.start()
-        if b < len(text):
-            tail = text[b - AROUND : b].rfind(" ")
-            b = b - AROUND + tail if tail > 0 else b
-        cut.append((a, b))
-    return cut
+class Reader(dict):
+    """From tokens to 64 times the number of the shape plus that of the cue."""
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field = field
+
+    def __missing__(self, token: str) -> int:
+        got = 64 * self.field.shapes.get(shape(token), 0) + self.field.cues.get(token.lower(), 0)
+        if len(token) <= SHORT:
+            if len(self) > CACHED:
+                self.clear()
+            self[token] = got
+        return got
+
+    def read(self, text: str) -> np.ndarray:
+        tokens = _TOKEN.findall(text)
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+
+
+_READERS: dict[int, Reader] = {}
+
+
+def _reader(field: Field) -> Reader:
+    """One for each worker process and field."""
+    if id(field) not in _READERS or _READERS[id(field)].field is not field:
+        _READERS.clear()
+        _READERS[id(field)] = Reader(field)
+    return _READERS[id(field)]
 
 
 def spans_of(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """For each text its pattern spans and the field's further spans."""
-    base = [base_spans(t) for t in texts]
-    where, scores = [], []
-    for k, text in enumerate(texts):
-        for a, b in stretches(text):
-            found = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, a, b)]
-            where.append((k, found))
-            scores.append(field.scores([x for _, _, x in found]))
+    base, reader = [base_spans(t) for t in texts], _reader(field)
     more: list[list] = [[] for _ in texts]
-    for (k, found), labels in zip(where, field.decode(scores)):
-        t = 0
-        while t < len(found):
-            kind, first = LABELS[labels[t]], t
-            while t < len(found) and labels[t] == labels[first]:
-                t += 1
-            if kind in ADDED:
-                a, b = found[first][0], found[t - 1][1]
-                digits = sum(map(str.isdigit, texts[k][a:b]))
-                if (kind != "phone" or 8 <= digits <= 15) and (kind != "ssn" or digits == 9) and (kind != "secret" or b - a >= 12):
-                    if not any(x < b and a < y for _, x, y in base[k]):
-                        more[k].append((kind, a, b))
+    wanted = np.array([LABELS.index(kind) for kind in ADDED], np.int8)
+    for k, labels in enumerate(field.labels([reader.read(t) for t in texts])):
+        hits = np.flatnonzero(np.isin(labels, wanted))
+        if not len(hits):
+            continue
+        places = [m.span() for m, _ in zip(_TOKEN.finditer(texts[k]), range(hits[-1] + 1))]
+        for run in np.split(hits, np.flatnonzero((np.diff(hits) > 1) | (np.diff(labels[hits]) != 0)) + 1):
+            kind, a, b = LABELS[labels[run[0]]], places[run[0]][0], places[run[-1]][1]
+            digits = sum(map(str.isdigit, texts[k][a:b]))
+            if (kind != "phone" or 8 <= digits <= 15) and (kind != "ssn" or digits == 9) and (kind != "secret" or b - a >= 12):
+                if not any(x < b and a < y for _, x, y in base[k]):
+                    more[k].append((kind, a, b))
     return list(zip(base, more))
 
 
@@ -366,6 +445,19 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
+def _some(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+    """The texts in order, some ``most`` characters at a time."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > most:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def find(docs: DataFrame, table: list[tuple[int, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_added."""
     field = docs.sparkSession.sparkContext.broadcast(train(labelled_table() if table is None else table))
@@ -374,7 +466,7 @@ def find(docs: DataFrame, table: list[tuple[int, str, str]] | None = None, id_co
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
-            for base, more in spans_of(texts.tolist(), field.value):
+            for base, more in (x for some in _some(texts.tolist()) for x in spans_of(some, field.value)):
                 kinds = [k for k, _, _ in base]
                 rows.append((*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(more)))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])

@@ -108,3 +108,60 @@ def test_secrets_need_no_digits(field):
 def test_words_near_cues_are_no_secrets(field):
     for text in ("the secret of their extraordinary understanding was a key to internationalization", "the password is misunderstanding", "Wolfeschlegelsteinhausen and the INTERNATIONALISATION of law"):
         assert pii.spans_of([text], field)[0][1] == []
+
+
+def test_tables_give_the_scores_of_the_features(field):
+    import itertools
+
+    import numpy as np
+
+    rng, pool = random.Random(4), ["password", "key", "=", '"', "Abc", "abc", "1234", "a1b2", ".", "-", "AKIA" + "Q" * 16, "ssn", "Zebra" * 5, "7", "漢字", "😀"]
+    sequences = [[rng.choice(pool) for _ in range(n)] for n in (1, 2, 3, 9, 40, 41, 200)]
+    slow = field.decode([field.scores(t) for t in sequences])
+    fast = field.labels([pii._reader(field).read(" ".join(t)) for t in sequences])
+    move = lambda labels: sum(field.move[a, b] for a, b in itertools.pairwise(labels))
+    for tokens, a, b in zip(sequences, slow, fast):
+        scores = field.scores(tokens)
+        total = [sum(scores[k, x] for k, x in enumerate(labels)) + move(labels) for labels in (a, b)]
+        assert len(a) == len(b) == len(tokens) and np.isclose(*total)
+
+
+def test_spans_of_values_put_into_documents(spark, field):
+    """Recall by kind of values put into every document at a blank, under cue words or none; and what is added beside them."""
+    rng = random.Random(6)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text and len(r.text) > 200]
+    frames = {"secret": ('token = "{}"', "password={}", "api key {} was leaked", "auth bearer {}"), "ssn": ("ssn {}", "social security number : {}"), "phone": ("call {} now", "tel {}")}
+    kinds = {"secret": ("secret", "key", "letters", "phrase"), "ssn": ("ssn",), "phone": ("local",)}
+    found, total = {}, {}
+    for k, text in enumerate(docs):
+        label = ("secret", "ssn", "phone")[k % 3]
+        value = pii._value(rng.choice(kinds[label]), rng)
+        at = text.find(" ", rng.randrange(len(text) // 2))
+        at = at if at > 0 else len(text)
+        full = text[:at] + " " + rng.choice(frames[label]).format(value) + text[at:]
+        base, more = pii.spans_of([full], field)[0]
+        total[label] = total.get(label, 0) + 1
+        found[label] = found.get(label, 0) + any(kind == label and full[a:b] == value for kind, a, b in more)
+    assert all(found[x] >= 0.95 * total[x] for x in total), (found, total)
+
+
+def test_clean_documents_get_no_further_spans(spark, field):
+    """What is added in the documents as they are stands after a cue word."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = [(k, texts[n][max(0, a - 24) : a], texts[n][a:b]) for n, (_, more) in enumerate(pii.spans_of(texts, field)) for k, a, b in more]
+    assert all(re.search(r"(?i)token|key|secret|password|ssn|phone|tel", before) or value.startswith("AKIA") for _, before, value in got), got
+
+
+def test_a_long_text_of_digits_needs_little_memory():
+    """5 MB of digits beside short texts, in a process of its own: under 1 GB."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, time; from assay.llm import pii; f = pii.train(pii.labelled_table());"
+        "texts = ['1 2 ' * 1_250_000] + ['call 555 now'] * 255; out = pii.spans_of(texts, f);"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, len(out))"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    mb, n = map(int, done.stdout.split())
+    assert n == 256 and mb < 1000, done
