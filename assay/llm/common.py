@@ -14,6 +14,8 @@ from assay.operators.scratch import folder
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only when it is counted to have at most this many rows of a few longs.
 BROADCAST_ROWS = 200_000
+#: And at most this many bytes of texts.
+BROADCAST_BYTES = 1 << 24
 
 
 _OPEN: ContextVar[Scope | None] = ContextVar("scope", default=None)
@@ -66,8 +68,12 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a written table of narrow rows is counted to be small, else leave the join to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hint a broadcast if a written table is counted to be small, in rows and in the bytes of its texts and lists, else leave the join
+    to the planner."""
+    some = df.limit(rows + 1)
+    wide = [F.coalesce(F.sum(F.octet_length(c) if t in ("string", "binary") else 8 * F.size(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
+    n, *sizes = some.agg(F.count("*"), *wide).first()
+    return F.broadcast(df) if n <= rows and sum(sizes) <= BROADCAST_BYTES else df
 
 
 def least_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:

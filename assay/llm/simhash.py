@@ -32,6 +32,8 @@ RADIUS = 2
 SAMPLE, MOST_SAMPLE = 1 << 14, 1 << 20
 SHARD, MOST_SHARD = 1 << 15, 1 << 21
 LEAF = 384
+#: Midpoint keys that are sorted at a time, some 40 bytes each.
+KEYS = 1 << 22
 SEED = 42
 
 
@@ -123,16 +125,27 @@ def route(points: np.ndarray, nodes: list, radius: int) -> Iterator[tuple[int, b
         todo += [(node[2], rows[d < node[1]]), (node[3], rows[d >= node[1] - radius])]
 
 
-def _by_midpoints(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exact links of radius 2 as (point, least holder of a shared key)."""
-    keys = np.concatenate([points] + [points ^ (np.uint64(1) << np.uint64(b)) for b in range(64)])
-    owner = np.tile(np.arange(len(points)), 65)
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    least = np.minimum.reduceat(owner, first)
-    head = np.repeat(least, np.diff(np.append(first, len(keys))))
-    links = np.unique(np.stack([owner, head], 1)[owner != head], axis=0)
+def _by_midpoints(points: np.ndarray, most: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """Exact links of radius 2 as (point, least holder of a shared key). Keys are sorted some ``most`` at a time, by their hash, so that
+    memory stays bounded however tight a cluster is."""
+    passes, found = -(-65 * len(points) // most), []
+    every = np.arange(len(points))
+    for k in range(passes):
+        keys, owner = [], []
+        for bit in (0, *(1 << b for b in range(64))):
+            flipped = points ^ np.uint64(bit)
+            mine = every if passes == 1 else np.flatnonzero((flipped * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(passes) == k)
+            keys.append(flipped[mine])
+            owner.append(mine)
+        keys, owner = np.concatenate(keys), np.concatenate(owner)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        if not len(keys):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        head = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(keys))))
+        found.append(np.unique(np.stack([owner, head], 1)[owner != head], axis=0))
+    links = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return points[links[:, 0]], points[links[:, 1]]
 
 

@@ -3,7 +3,8 @@
 A text's features are the hashes of its byte n-grams and of its words (and of repeats of the word before); each has a vector, a text is
 the mean of its features' vectors, and a linear softmax maps the mean to classes. Since that output is linear in the mean, a
 trained model is folded into one row of class scores per bucket, and scoring is a hash, a lookup and a mean per text,
-over whole texts, in vectorized passes over the bytes of many texts.
+over whole texts, in vectorized passes over the bytes of many texts. A text longer than ``PART`` is read in blocks that see the
+bytes after them and carry words over their ends, so its features are those of the whole text in bounded memory.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 
 #: Zero bytes between texts; n-grams at a text's end run into them, never into the next text.
 _PAD = b"\0" * 8
-#: Longer texts are scored in parts of about this many bytes, cut at a blank; the parts' sums make the text's mean.
+#: Longer texts are read in blocks of at most this many bytes.
 PART = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(1099511628211)
@@ -36,17 +37,6 @@ def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _TABLES[name][:n]
 
 
-def parts_of(raw: bytes, most: int = PART) -> Iterator[bytes]:
-    """A text in parts of at most ``most`` bytes and a word, cut at blanks where there are any."""
-    at = 0
-    while len(raw) - at > most:
-        cut = raw.find(b" ", at + most, at + 2 * most)
-        cut = at + most if cut < 0 else cut
-        yield raw[at:cut]
-        at = cut
-    yield raw[at:]
-
-
 class Features:
     """Bucket numbers of texts' features."""
 
@@ -78,6 +68,46 @@ class Features:
         owners.append(word_owner[again])
         return np.concatenate(found), np.concatenate(owners)
 
+    def blocks(self, raw: bytes) -> Iterator[np.ndarray]:
+        """Buckets of all features of one text of any length, some at a time."""
+        raw = raw.lower() if self.lower else raw
+        end, padded, shift = len(raw), np.frombuffer(raw + _PAD, np.uint8), np.uint64(64 - self.bits)
+        for a in range(0, end, PART):
+            wide = np.ndarray((min(end, a + PART) - a,), "<u8", padded, offset=a, strides=(1,))
+            for n in self.orders:
+                gram = wide & np.uint64((1 << (8 * n)) - 1)
+                yield (((gram + np.uint64(n)) * _MIX) >> shift).astype(np.int32)
+        last = None
+        for words in self._word_blocks(padded[:end]):
+            yield ((words * _MIX) >> shift).astype(np.int32)
+            before = words[:-1] if last is None else np.concatenate(([last], words[:-1]))
+            again = int((words[len(words) - len(before) :] == before).sum())
+            yield np.full(again, (1 << self.bits) - 1, np.int32)
+            last = words[-1]
+
+    def _word_blocks(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """The hashes of the words of a text, in order; blocks end at blanks, and a word longer than a block is summed over blocks."""
+        at, end = 0, len(data)
+        while at < end:
+            stop = min(end, at + PART)
+            if stop < end and (blanks := np.flatnonzero(data[at:stop] <= 32)).size:
+                stop = at + int(blanks[-1]) + 1
+            elif stop < end:
+                total, length, scale = np.zeros(1, np.uint64), 0, np.ones(1, np.uint64)
+                while at < end and data[at] > 32:
+                    some = data[at : at + PART]
+                    blank = np.flatnonzero(some <= 32)
+                    some = some[: blank[0]] if blank.size else some
+                    total += (some * _table("up", _BASE, len(some))).sum(dtype=np.uint64) * scale
+                    scale *= _table("up", _BASE, PART + 1)[len(some)]
+                    length, at = length + len(some), at + len(some)
+                yield total ^ np.uint64(length)
+                continue
+            words, _ = self._words(data[at:stop], np.zeros(stop - at, np.int32))
+            if len(words):
+                yield words
+            at = stop
+
     @staticmethod
     def _words(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         solid = (data > 32).astype(np.int8)
@@ -88,19 +118,18 @@ class Features:
         return ((total[end] - total[begin]) * _table("down", _INVERSE, len(data))[begin]) ^ (end - begin).astype(np.uint64), owner[begin]
 
 
-def _batches(texts: Iterable[str], most: int = PART) -> Iterator[tuple[int, list[bytes], list[int]]]:
-    """(number of texts so far, parts, the text of each part), some ``most`` bytes at a time."""
-    parts, owners, size, k = [], [], 0, -1
-    for k, text in enumerate(texts):
-        for part in parts_of(text.encode("utf-8", "replace")):
-            if size + len(part) > most and parts:
-                yield k, parts, owners
-                parts, owners, size = [], [], 0
-            parts.append(part)
-            owners.append(k)
-            size += len(part)
-    if parts:
-        yield k + 1, parts, owners
+def _batches(raws: Iterable[tuple[int, bytes]], most: int = PART) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Texts and their numbers, some ``most`` bytes at a time."""
+    texts, owners, size = [], [], 0
+    for k, raw in raws:
+        if size + len(raw) > most and texts:
+            yield texts, owners
+            texts, owners, size = [], [], 0
+        texts.append(raw)
+        owners.append(k)
+        size += len(raw)
+    if texts:
+        yield texts, owners
 
 
 class Scorer:
@@ -111,12 +140,22 @@ class Scorer:
 
     def logits(self, texts: list[str]) -> np.ndarray:
         sums, counts = np.zeros((len(texts), len(self.bias))), np.zeros(len(texts))
-        for _, parts, owners in _batches(texts):
-            buckets, part = self.features(parts)
-            own = np.array(owners)
+
+        def short() -> Iterator[tuple[int, bytes]]:
+            for k, text in enumerate(texts):
+                raw = text.encode("utf-8", "replace")
+                if len(raw) <= PART:
+                    yield k, raw
+                    continue
+                for buckets in self.features.blocks(raw):
+                    sums[k] += [row[buckets].sum(dtype=np.float64) for row in self.table]
+                    counts[k] += len(buckets)
+
+        for raws, owners in _batches(short()):
+            buckets, part = self.features(raws)
             for c in range(len(self.bias)):
-                np.add.at(sums[:, c], own, np.bincount(part, self.table[c][buckets], len(parts)))
-            np.add.at(counts, own, np.bincount(part, minlength=len(parts)))
+                sums[owners, c] = np.bincount(part, self.table[c][buckets], len(raws))
+            counts[owners] = np.bincount(part, minlength=len(raws))
         return sums / np.maximum(counts, 1)[:, None] + self.bias
 
     def probabilities(self, texts: list[str], temperature: float = 1.0) -> np.ndarray:
@@ -130,9 +169,8 @@ def train(texts: list[str], labels: np.ndarray, classes: int, features: Features
     rng = np.random.default_rng(seed)
     rows = []
     for text in texts:
-        counts: dict[int, int] | np.ndarray = np.zeros(1 << features.bits, np.int32)
-        for part in parts_of(text.encode("utf-8", "replace")):
-            buckets, _ = features([part])
+        counts = np.zeros(1 << features.bits, np.int32)
+        for buckets in features.blocks(text.encode("utf-8", "replace")):
             counts += np.bincount(buckets, minlength=1 << features.bits).astype(np.int32)
         ids = np.flatnonzero(counts)
         rows.append((ids, (counts[ids] / max(1, counts.sum())).astype(np.float32)))

@@ -127,3 +127,11 @@ def test_query_against_brute_force(spark, data):
         low[r] = min([low.get(r, 1 << 62), *prints[p]])
     want = {r.doc_id: low[comps[slow_print(r.text)]] for r in rows}
     assert {r.doc_id: r.component_id for r in QUERIES["op5_simhash"](spark, data).collect()} == want
+
+
+def test_midpoints_in_several_passes():
+    rng = np.random.default_rng(9)
+    points = np.unique(np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, 3000, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000, np.uint64)))
+    one = set(zip(*(x.tolist() for x in simhash._by_midpoints(points))))
+    for most in (1 << 12, 1 << 16):
+        assert set(zip(*(x.tolist() for x in simhash._by_midpoints(points, most)))) == one
