@@ -125,6 +125,14 @@ SENTENCES = (
     "password={secret} in the file",
     "secret : {secret} ;",
     "use {key} for the upload",
+    "password=\"{key}\" in the file",
+    "an api token \"{key}\" was found",
+    "with key {key} for it",
+    "password=\"{phrase}\" in it",
+    "an api token \"{phrase}\" was lost",
+    "key {phrase} for all",
+    "take key {phrase} to open it",
+    "by key {phrase} or key {letters}",
     "the key {key} expired in {year} .",
     "auth bearer {secret} was sent",
     "ssn {ssn} on the form",
