@@ -363,12 +363,6 @@ class _Factory:
 w = _Factory()
 
 
-def define_form(id: str, title: str, sections: dict[str, dict[str, Type]], **meta: Any) -> ir.Schema:
-    """A form: named sections of fields become one object, each field marked with its section."""
-    members = {k: Type({**t.to_dict(), "section": s}) for s, fields in sections.items() for k, t in fields.items()}
-    return ir.Schema.from_json({"version": "1.0", "id": id, "title": title, "sections": [{"id": s, "fields": list(f)} for s, f in sections.items()], **meta, "root": w.object(members).to_dict()})
-
-
 # Template segments.
 def lit(value: str) -> dict:
     return {"kind": "literal", "value": value}

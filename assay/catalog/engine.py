@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from assay.builder import lit, seg, w
+from assay.forms import define_form, f
 from assay.functions.predicates import reference
 from assay.functions.predicates.lite import lite
 from assay.operators import batch, report
@@ -103,6 +104,29 @@ register(
     "SELECT o_orderkey, true AS valid FROM orders",
 )
 
+
+
+def customer_form():
+    """The customer table as a form of two sections."""
+    return (
+        define_form().id("customer").title("Customer").description("A customer's master data").section("who", "Identity", 1).section("account", "Account", 2)
+        .field("c_custkey", f.uint32("Number").required().section("who").range(1, 1000, "NUMBER"))
+        .field("c_name", f.string("Name").required().section("who").label("Name").example("Customer#000000001").lower().starts_with(value="customer#"))
+        .field("c_nationkey", f.int32("Nation").optional().section("who"))
+        .field("c_acctbal", f.money("Balance").section("account").is_non_negative())
+        .field("c_mktsegment", f.enum("Segment", ["BUILDING", "MACHINERY"]).section("account"))
+    )
+
+
+register(
+    "validate_form",
+    lambda s, d: customer_form().validate(table(s, d, "customer")).select("c_custkey", "c_name", "valid", V.issue_codes(F.col("errors")).alias("codes")),
+    """
+    SELECT c_custkey, lower(c_name) AS c_name, len(e) = 0 AS valid, array_to_string(list_sort(e), ',') AS codes FROM (SELECT *, list_filter([CASE WHEN c_custkey NOT BETWEEN 1 AND 1000 THEN '/c_custkey:NUMBER' END,
+        CASE WHEN c_acctbal < 0 THEN '/c_acctbal:INVALID_NON_NEGATIVE' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', '') THEN '/c_mktsegment:INVALID_ENUM' END], lambda x: x IS NOT NULL) AS e FROM customer)
+    """,
+)
+
 LINE_SCHEMA = {
     "type": "object",
     "unknown_keys": "passthrough",

@@ -174,6 +174,39 @@ def test_stream_windows(spark, data, tmp_path):
     assert spark.sql("SELECT sum(n) FROM issue_windows").first()[0] == source.filter("value > 50").count()
 
 
+def test_batches_of_a_stream_reach_the_full_depth(spark, tmp_path):
+    chain = {"version": "1.0", "definitions": {"n": {"type": "object", "properties": {"v": {"type": "integer"}, "next": {"type": "ref", "$ref": "n", "required": False}}}}, "root": {"type": "ref", "$ref": "n"}}
+    nested = lambda depth, last: '{"v":1,"next":' * (depth - 1) + last + "}" * (depth - 1)
+    texts = [nested(2, '{"v":1}'), nested(12, '{"v":1}'), nested(12, '{"v":"x"}')]
+    spark.createDataFrame([(t,) for t in texts], "value string").write.text(f"{tmp_path}/in")
+    stream = spark.readStream.schema("value string").text(f"{tmp_path}/in")
+    check = lambda batch: V.validate_documents(batch, chain).select("value", "valid", V.issue_codes(F.col("errors")).alias("codes"))
+    streams.route_each(stream, check, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(r.value for r in spark.read.parquet(f"{tmp_path}/good").collect()) == sorted(texts[:2])
+    assert [r.codes for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == ["/next" * 11 + "/v:TYPE_ERROR"]
+
+
+def test_address_predicates_with_a_stub_parser(spark, monkeypatch):
+    from assay.functions.predicates import address
+
+    monkeypatch.setattr(address, "parse_address", None)
+    with pytest.raises(ImportError):
+        address.register(Registry.default())
+
+    def parse(text):
+        return [(part.split("=")[1], part.split("=")[0]) for part in text.split(";") if "=" in part]
+
+    monkeypatch.setattr(address, "parse_address", parse)
+    r = address.register(Registry.default())
+    rows = spark.createDataFrame([("road=main;city=x;state=ca;postcode=94105",), ("city=x;state=ca",), ("nothing",), ("",), (None,)], "a string")
+    on = lambda name, **args: F.coalesce(r.evaluate(name, from_typed(F.col("a"), StringType()), args), F.lit(False))
+    got = rows.select(
+        on("is_parseable_address"), on("has_address_component", component="road"), on("is_us_address"), on("is_us_address", strict=False), on("address_component_matches", component="postcode", pattern="^9[0-9]{4}$"),
+        on("address_component_matches", component="state", pattern="^ny$"),
+    ).collect()
+    assert [list(x) for x in got] == [[True, True, True, True, True, False], [True, False, False, True, False, False], *[[False] * 6] * 3]
+
+
 def test_forms(spark):
     rows = spark.createDataFrame([("123-45-6789", "12-3456789", 5, 2024), ("123-45-6789", "x", 5, 2024), ("123-45-6789", "123456789", -1, 2024), ("123-45-6789", "123456789", None, 2019)], "payer_tin string, recipient_tin string, interest_income long, tax_year int")
     assert [r.valid for r in batch.validate_forms(rows).collect()] == [True, False, False, False]

@@ -110,3 +110,31 @@ def test_generated_classes_run():
     exec(generate.dataclasses_source(s, "Form"), names)
     made = names["Form"](a=1, c=names["FormC"](d=[1.0], e="x"), f=None)
     assert made.b is None and names["Form"].__annotations__["f"] == "dict[str, bool] | None" and names["FormC"].__annotations__["e"] == "Literal['x', 1]"
+
+
+def test_form_definitions():
+    from assay.forms import checkbox, define_form, f, text_field
+
+    empty = define_form()
+    form = empty.id("slip").title("Slip").description("A slip").version("2.0").irs_form(name="S-1").pdf_template(path="s1.pdf").section("payer", "Payer", 1, "who pays")
+    form = form.field("A", f.string("Payer's name").section("payer").label("Name").example("Ada").trim().required()).fields({"B": f.money("Amount").optional(), "C": f.enum("Kind", ["x", "y"]), "D": f.boolean("Final")})
+    form = form.page(1, "first", {"A": text_field(1, 2, 30, 4, align="left"), "D": checkbox(5, 6)}).acroform_field("f1[0]", 1, "A", ["A", "B"], format="{A}, {B}").acroform_field("f2[0]", 1, "A", ["C"])
+    doc = form.to_dict()
+    assert doc["root"]["fields"]["A"] == {"type": "string", "description": "Payer's name", "section": "payer", "label": "Name", "example": "Ada", "transforms": [{"fn": "trim"}], "required": True}
+    assert doc["root"]["pages"]["1"]["fields"]["D"] == {"type": "checkbox", "x": 5, "y": 6, "width": 10, "height": 10}
+    assert [m["field_id"] for m in doc["root"]["acroform_mappings"]] == ["f1[0]", "f2[0]"] and doc["root"]["acroform_mappings"][0]["format"] == "{A}, {B}"
+    assert doc["irs_form"]["name"] == "S-1" and doc["irs_form"]["omb_number"] == "" and doc["pdf_template"] == {"hash": None, "path": "s1.pdf", "source_uri": ""}
+    assert doc["description"] == doc["root"]["description"] == "A slip" and doc["sections"]["payer"]["order"] == 1
+    assert json.loads(form.to_json()) == json.loads(form.to_json(pretty=False)) == doc
+    assert empty.to_dict()["root"]["fields"] == {} and empty.to_dict()["id"] == ""
+    assert list(form.to_schema().root["properties"]) == ["A", "B", "C", "D"] and form.to_schema().extra["sections"]["payer"]["title"] == "Payer"
+
+
+def test_a_form_validates_tables(spark):
+    from assay.forms import define_form, f
+
+    form = define_form().fields({"n": f.uint32("Count"), "d": f.date("Day").optional(), "t": f.string("Number").digits_only().is_ssn()})
+    rows = spark.createDataFrame([(1, "2024-02-29", "123-45-6789"), (-1, None, "000-00-0000")], "n long, d string, t string")
+    assert [(r.t, r.valid) for r in form.validate(rows).orderBy("n").collect()] == [("000000000", False), ("123456789", True)]
+    with pytest.raises(AttributeError):
+        f.number("no such field")
