@@ -310,5 +310,26 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("schema_struct_type", _generated, "SELECT * FROM (VALUES ('c_custkey', 'bigint', false), ('c_name', 'string', false), ('c_nationkey', 'int', false), ('c_acctbal', 'double', false), ('c_mktsegment', 'string', false)) t(name, type, nullable)")
-_OPENAPI_ROOT = """SELECT '["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]' AS required"""
-register("schema_openapi", lambda s, d: s.createDataFrame([(json.dumps(generate.openapi(customer_schema())["components"]["schemas"]["Root"]["required"]),)], "required string"), _OPENAPI_ROOT)
+
+
+def _openapi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of the description, by pointer, as JSON."""
+
+    def leaves(node, at: str = "") -> list[tuple[str, str]]:
+        if not isinstance(node, (dict, list)):
+            return [(at, json.dumps(node))]
+        return [x for k, v in (node.items() if isinstance(node, dict) else enumerate(node)) for x in leaves(v, f"{at}/{k}")]
+
+    return spark.createDataFrame(leaves(generate.openapi(customer_schema())), "pointer string, value string")
+
+
+_OPENAPI_SQL = """
+    WITH members(n, name, about) AS (VALUES (0, 'c_custkey', {'type': '"integer"', 'format': '"int64"'}::JSON), (1, 'c_name', {'type': '"string"'}::JSON),
+        (2, 'c_nationkey', {'type': '"integer"', 'format': '"int32"', 'minimum': '0', 'maximum': '24'}::JSON), (3, 'c_acctbal', {'type': '"number"'}::JSON),
+        (4, 'c_mktsegment', {'enum/0': '"AUTOMOBILE"', 'enum/1': '"BUILDING"', 'enum/2': '"FURNITURE"', 'enum/3': '"HOUSEHOLD"'}::JSON)), root AS (SELECT '/components/schemas/Root' AS base)
+    SELECT base || '/properties/' || name || '/' || key AS pointer, about ->> ('$."' || key || '"') AS value FROM (SELECT *, unnest(json_keys(about)) AS key FROM members), root
+    UNION ALL SELECT base || '/required/' || n, '"' || name || '"' FROM members, root
+    UNION ALL SELECT base || '/type', '"object"' FROM root
+    UNION ALL VALUES ('/openapi', '"3.1.0"'), ('/info/title', '"schema"'), ('/info/version', '"1.0"')
+"""
+register("schema_openapi", _openapi, _OPENAPI_SQL)
