@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_of
+from .common import fold_of, give_back, text_of
 from .labelled import sample
 from .subwords import Features, Scorer, train
 
@@ -58,5 +58,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     if not pairs:
         return docs
     model = _fitted(pairs)
+    del pairs
+    give_back()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.filter(score(model, docs, F.col("row")[text_col]) >= threshold).select("row.*")

@@ -118,3 +118,26 @@ def test_a_run_leaves_only_what_its_result_reads(spark, data, tmp_path):
     left = set(os.listdir(base)) - before
     read = {f.split("/assay/")[1].split("/")[0] for f in out.inputFiles()}
     assert left == read
+
+
+def test_training_leaves_no_memory_behind(spark, data, monkeypatch):
+    """The quality stage gives what its training has taken back to the system; the texts are dropped before."""
+    from assay.llm import quality
+
+    held, back = [], []
+    monkeypatch.setattr(quality, "give_back", lambda: back.append(sum(1 for w in held if w() is not None)))
+
+    class Pairs(list):
+        pass
+
+    def seen(*a, **k):
+        import weakref
+
+        found = Pairs(sample(*a, **k))
+        held.append(weakref.ref(found))
+        return found
+
+    sample = quality.sample
+    monkeypatch.setattr(quality, "sample", seen)
+    assert quality.keep_good(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")).count() > 0
+    assert back == [0]
