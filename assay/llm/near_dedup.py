@@ -1,8 +1,10 @@
 """Near-duplicates by shared word shingles: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates come from MinHash signatures cut into ``BANDS`` bands of ``ROWS`` minima: texts that agree in all minima of some band share a
-bucket, which a pair at similarity s does with probability 1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8. Candidates are compared
-by the 64-bit hashes of all their shingles. Every member of a bucket is first compared with the bucket's most central member, the
+The SimHash search comes first: fingerprints of the sets of shingles are spread over vantage-point tree shards with overlap, linked within two
+bits by local trees, and contracted to components by stars (``simhash.near_components``); the texts of a component share a bucket. Pairs at 0.8
+differ in some 10 of 64 bits, more than a tree can prune by, so further buckets come from MinHash signatures cut into ``BANDS`` bands of ``ROWS`` minima: texts that agree in all
+minima of some band share one, which a pair at similarity s does with probability 1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8. What shares a bucket is
+only a candidate; candidates are compared by the 64-bit hashes of all their shingles. Every member of a bucket is first compared with the bucket's most central member, the
 one whose own buckets hold the most, so a group of copies of one text costs about a comparison a member. Texts in buckets that these links
 leave in several parts (texts that share a passage, say, but are not alike) are then joined by prefixes: with a text's shingles
 ordered from rare to common among those texts, two texts that are alike share one of the first fifth, and so early that what follows it
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scope, materialize, sized, text_of, with_row_id
 from .components import components
 from .fingerprint import shingle_hashes
+from .simhash import majority, near_components
 
 WORDS = 5
 LEAST = 0.8
@@ -38,27 +41,27 @@ def shingles(text: str, words: int = WORDS) -> set[bytes]:
     return {b" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))} if parts else set()
 
 
-def sketch(text: str) -> tuple[int, int, list[int]]:
-    """Digest of the text's set of shingles, their number, and a key for each band."""
+def sketch(text: str) -> tuple[int, int, int, list[int]]:
+    """Digest of the text's set of shingles, their number, their SimHash, and a key for each band."""
     found = shingles(text)
     hashes = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
     digest = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
     if not found:
-        return digest, 0, []
+        return digest, 0, 0, []
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for k in range(0, len(hashes), 512):
         np.minimum(low, (hashes[k : k + 512, None] * _FACTORS).min(0), out=low)
-    return digest, len(found), [xxhash.xxh64_intdigest(band.tobytes(), b) for b, band in enumerate(low.reshape(BANDS, ROWS))]
+    return digest, len(found), majority(hashes), [xxhash.xxh64_intdigest(band.tobytes(), b) for b, band in enumerate(low.reshape(BANDS, ROWS))]
 
 
 def _sketches():
     """A column function from texts to their sketches, as signed longs."""
     signed = lambda x: np.array(x, np.uint64).view(np.int64)
 
-    @F.pandas_udf("fp long, n long, bands array<long>")
+    @F.pandas_udf("fp long, n long, sim long, bands array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = [sketch(t) for t in texts]
-        return pd.DataFrame({"fp": signed([r[0] for r in rows]), "n": np.array([r[1] for r in rows], np.int64), "bands": [signed(r[2]) for r in rows]})
+        return pd.DataFrame({"fp": signed([r[0] for r in rows]), "n": np.array([r[1] for r in rows], np.int64), "sim": signed([r[2] for r in rows]), "bands": [signed(r[3]) for r in rows]})
 
     return of
 
@@ -82,9 +85,17 @@ def _sizes_allow(a: str, b: str) -> Column:
     return F.least(a, b) / F.greatest(a, b) >= F.lit(LEAST)
 
 
+def _by_tree(prints: DataFrame) -> DataFrame:
+    """A bucket (key, fp, n) for each text that has a shingle: its component in the SimHash search."""
+    some = prints.filter("n > 0").select("fp", "n", "sim")
+    roots = materialize(near_components(materialize(some.select(F.col("sim").alias("fp")).distinct())))
+    placed = some.join(sized(roots), F.col("sim") == F.col("vertex"), "left")
+    return placed.select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "sim")).alias("key"), "fp", "n")
+
+
 def _central(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members (key, fp, n) of buckets that hold several texts, and each such bucket's centre (key, fp, n); both written."""
-    holders = prints.select("fp", "n", F.explode("bands").alias("key"))
+    holders = materialize(_by_tree(prints)).unionByName(prints.select(F.explode("bands").alias("key"), "fp", "n"))
     held = materialize(holders.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"))
     members = materialize(holders.join(sized(held), "key"))
     scores = materialize(members.groupBy("fp").agg(F.sum("held").alias("score")))
@@ -113,7 +124,7 @@ def _by_prefix(sets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def similar_components(prints: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
-    """prints: fp, n, bands, distinct and written; heads: fp, rid; texts: rid, text. Gives vertex, root for the texts that are
+    """prints: fp, n, sim, bands, distinct and written; heads: fp, rid; texts: rid, text. Gives vertex, root for the texts that are
     linked to another."""
     members, centres = _central(prints)
     to = members.join(sized(centres.select("key", F.col("fp").alias("v"), F.col("n").alias("vn"))), "key")
@@ -144,9 +155,9 @@ def _gone(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     sketched = docs.select(row, _sketches()(text_of(F.col(f"`{text_col}`"))).alias("s")).select("row", "s.*")
     printed = materialize(with_row_id(sketched, "rid"))
     head = F.min(F.struct(F.col("row")[id_col].isNull().alias("none"), F.col("row")[id_col].alias("id"), F.col("rid")))
-    prints = materialize(printed.groupBy("fp").agg(head.alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    prints = materialize(printed.groupBy("fp").agg(head.alias("head"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bands").alias("bands")))
     texts = printed.select("rid", text_of(F.col("row")[text_col]).alias("text"))
-    roots = materialize(similar_components(prints.select("fp", "n", "bands"), prints.select("fp", F.col("head.rid").alias("rid")), texts))
+    roots = materialize(similar_components(prints.select("fp", "n", "sim", "bands"), prints.select("fp", F.col("head.rid").alias("rid")), texts))
     rooted = prints.select("fp", "head").join(sized(roots), F.col("fp") == F.col("vertex"), "left").select("head", F.coalesce("root", "fp").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("head").alias("first")).select(F.col("first.rid").alias("rid"))
     return printed, materialize(printed.select("rid").join(keep, "rid", "left_anti"))

@@ -50,6 +50,11 @@ def fingerprint(text: str, words: int = 3) -> int:
         starts = np.concatenate(([0], ends[: len(parts) - words]))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
     bits = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[k : k + (1 << 16)], np.uint64)

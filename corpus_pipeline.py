@@ -27,7 +27,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike in their five-word shingles (Jaccard similarity 0.8 or more) one document stays."""
+    """Of each group of texts alike in their five-word shingles (Jaccard similarity 0.8 or more) one document stays: SimHash components
+    by vantage-point trees and MinHash buckets give candidates, whole sets of shingles decide."""
     return near_dedup.drop_similar(docs)
 
 
